@@ -22,10 +22,9 @@ def zero() -> Column:
 
 def to_amount(value: Column, bad_as_zero: bool = False) -> Column:
     """Number from text: null becomes 0; unreadable text null, or 0 with ``bad_as_zero``."""
-    parsed = F.btrim(value.cast("string"), F.lit(BLANKS)).try_cast(MONEY)
-    if bad_as_zero:
-        return F.coalesce(parsed, zero())
-    return F.when(value.isNull(), zero()).otherwise(parsed)
+    text = F.coalesce(value.cast("string"), F.lit("0"))
+    parsed = F.btrim(text, F.lit(BLANKS)).try_cast(MONEY)
+    return F.coalesce(parsed, zero()) if bad_as_zero else parsed
 
 
 def parse_erp_amount(value: Column, negative: str = PLAIN) -> Column:
@@ -33,31 +32,33 @@ def parse_erp_amount(value: Column, negative: str = PLAIN) -> Column:
 
     Null and a lone ``-`` are 0. ``PARENTHESES`` reads ``(123)`` as -123,
     ``TRAILING_MINUS`` reads ``123-`` as -123. Unreadable text becomes null.
+
+    ``value`` is mentioned several times, so it should be a column and not a costly
+    expression; of the result, what comes after uses one expression.
     """
-    text = F.translate(
-        F.btrim(F.coalesce(value.cast("string"), F.lit("0")), F.lit(BLANKS)), ",", ""
-    )
+    text = _without(F.btrim(F.coalesce(value.cast("string"), F.lit("0")), F.lit(BLANKS)), ",")
+    number = F.when(text == "-", F.lit("0"))
     if negative == PARENTHESES:
-        number = F.translate(text, "()", "-")
+        number = number.otherwise(F.replace(_without(text, ")"), F.lit("("), F.lit("-")))
     elif negative == TRAILING_MINUS:
-        number = F.when(
-            (F.length(text) > 1) & text.endswith("-"),
-            F.concat(F.lit("-"), F.translate(text, "-", "")),
-        ).otherwise(text)
+        moved = F.concat(F.lit("-"), _without(text, "-"))
+        number = number.when(text.endswith("-"), moved).otherwise(text)
     elif negative == PLAIN:
-        number = text
+        number = number.otherwise(text)
     else:
         raise ValueError(f"unknown negative format {negative!r}")
-    return F.when(text == "-", zero()).otherwise(number.try_cast(MONEY))
+    return number.try_cast(MONEY)
+
+
+def _without(text: Column, sign: str) -> Column:
+    return F.replace(text, F.lit(sign), F.lit(""))
 
 
 def strict_amount(value: Column) -> Column:
     """Number from text with digit grouping; text that is no number fails the query."""
-    parsed = F.btrim(F.translate(value, ",", ""), F.lit(BLANKS)).try_cast(MONEY)
-    return F.when(
-        value.isNotNull() & parsed.isNull(),
-        F.raise_error(F.concat(F.lit("not a number: "), value)).cast(MONEY),
-    ).otherwise(parsed)
+    parsed = F.btrim(_without(value, ","), F.lit(BLANKS)).try_cast(MONEY)
+    refused = F.raise_error(F.concat(F.lit("not a number: "), value)).cast(MONEY)
+    return F.coalesce(parsed, F.when(value.isNotNull(), refused))
 
 
 def scale_hundred(amount: Column) -> Column:
@@ -73,4 +74,5 @@ def sign_by_marker(
     A missing marker negates, unless ``null_is_debit``.
     """
     known = F.coalesce(marker, F.lit(debit if null_is_debit else ""))
-    return F.when(known == debit, amount).otherwise(-amount)
+    sign = F.when(known == debit, F.lit(1)).otherwise(F.lit(-1))
+    return (amount * sign).cast(MONEY)

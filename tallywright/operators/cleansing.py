@@ -6,6 +6,7 @@ from collections.abc import Callable, Collection, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tallywright.functions import amounts, dates
 from tallywright.functions.codes import canonical_code
@@ -32,7 +33,13 @@ def coerce_amounts(
 ) -> DataFrame:
     """Make amounts numeric: null is 0, unreadable text null (or 0)."""
     present = [c for c in columns if c in df.columns]
-    return df.withColumns({c: amounts.to_amount(column(c), bad_as_zero) for c in present})
+    return df.withColumns({c: _number(df, c, bad_as_zero) for c in present})
+
+
+def _number(df: DataFrame, name: str, bad_as_zero: bool = False) -> Column:
+    if isinstance(df.schema[name].dataType, NumericType):
+        return F.coalesce(column(name).cast(MONEY), amounts.zero())
+    return amounts.to_amount(column(name), bad_as_zero)
 
 
 def stamp_year(df: DataFrame, label: str) -> DataFrame:
@@ -43,12 +50,17 @@ def parse_posting_date(
     df: DataFrame, pattern: str, fallback: str = dates.FALLBACK_DATE, first_month: int = 1
 ) -> DataFrame:
     """Posting date and fiscal month; ``date_defaulted`` marks rows that took the fallback."""
-    return df.withColumns(
-        {
-            "date_defaulted": dates.parsed_date(F.col("posting_date"), pattern).isNull(),
-            "posting_date": dates.posting_date(F.col("posting_date"), pattern, fallback),
-        }
-    ).withColumn("fiscal_month", dates.fiscal_month(F.col("posting_date"), first_month))
+    parsed = df.withColumn("_parsed", dates.parsed_date(F.col("posting_date"), pattern))
+    return (
+        parsed.withColumns(
+            {
+                "date_defaulted": F.col("_parsed").isNull(),
+                "posting_date": F.coalesce("_parsed", F.lit(fallback).cast("date")),
+            }
+        )
+        .withColumn("fiscal_month", dates.fiscal_month(F.col("posting_date"), first_month))
+        .drop("_parsed")
+    )
 
 
 def negate_credit(df: DataFrame) -> DataFrame:
@@ -57,12 +69,11 @@ def negate_credit(df: DataFrame) -> DataFrame:
 
 def split_amount(df: DataFrame) -> DataFrame:
     """Debit and credit from the signed amount; both are positive."""
-    zero = amounts.zero()
     amount = F.col("amount")
     return df.withColumns(
         {
-            "debit": F.when(amount > 0, amount).otherwise(zero),
-            "credit": F.when(amount < 0, F.abs(amount)).otherwise(zero),
+            "debit": F.greatest(amount, amounts.zero()),
+            "credit": F.greatest(-amount, amounts.zero()),
         }
     )
 
@@ -130,7 +141,7 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 
 def fill_balances(df: DataFrame, columns: Iterable[str] = BALANCES) -> DataFrame:
     """Missing trial-balance amounts are 0."""
-    return df.withColumns({c: amounts.to_amount(column(c)) for c in columns if c in df.columns})
+    return df.withColumns({c: _number(df, c) for c in columns if c in df.columns})
 
 
 def account_rows(df: DataFrame, code: str) -> DataFrame:

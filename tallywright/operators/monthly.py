@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallywright.operators.totals import total_or_zero
 from tallywright.schema import ACCOUNT
 from tallywright.settings import CURRENT, MONTHS
 
@@ -23,8 +19,8 @@ def net_movement(monthly: DataFrame) -> DataFrame:
         .groupBy(*ACCOUNT)
         .agg(
             *(
-                total_or_zero(F.when(F.col("fiscal_month") == month, F.col("amount"))).alias(name)
-                for month, name in zip(MONTHS, MONTH_COLUMNS)
+                F.expr(f"coalesce(sum(amount) FILTER (WHERE fiscal_month = {m}), 0) AS {name}")
+                for m, name in zip(MONTHS, MONTH_COLUMNS)
             )
         )
     )
@@ -45,20 +41,21 @@ def balance_report(monthly: DataFrame, tb: DataFrame) -> DataFrame:
 
     ``roll_diff`` is the closing balance less the last month and should be 0.
     """
-    joined = join_trial_balance(monthly, tb)
-    opening = F.coalesce(opening_balance(), F.lit(0))
+    joined = join_trial_balance(monthly, tb).withColumn(
+        "py", F.coalesce(opening_balance(), F.lit(0))
+    )
     running = {
-        name: reduce(add, (F.coalesce(F.col(m), F.lit(0)) for m in MONTH_COLUMNS[: i + 1]), opening)
+        name: " + ".join(["py", *(f"coalesce({m}, 0)" for m in MONTH_COLUMNS[: i + 1])])
         for i, name in enumerate(MONTH_COLUMNS)
     }
     kept = [c for c in tb.columns if c not in {*ACCOUNT, "cy", "py"}]
-    return joined.select(
+    return joined.selectExpr(
         *ACCOUNT,
         *kept,
-        opening.alias("py"),
-        *(total.alias(name) for name, total in running.items()),
+        "py",
+        *(f"{total} AS {name}" for name, total in running.items()),
         "cy",
-        (F.col("cy") - running[MONTH_COLUMNS[-1]]).alias("roll_diff"),
+        f"cy - ({running[MONTH_COLUMNS[-1]]}) AS roll_diff",
     )
 
 

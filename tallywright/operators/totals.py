@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.settings import CURRENT, MONTHS, PRIOR, YEARS
 from tallywright.schema import ACCOUNT
+from tallywright.settings import CURRENT, MONTHS, PRIOR, YEARS
 
 
 def total_or_zero(value: Column) -> Column:
@@ -66,30 +66,21 @@ def month_spine(monthly: DataFrame, *measures: Column) -> DataFrame:
     Built from one row per account that holds all 24 totals, so there is neither a spine
     table nor a join. ``measures`` are further aggregates to carry on every row.
     """
-    cell = {
-        (year, month): total_or_zero(
-            F.when(
-                (F.col("year_label") == year) & (F.col("fiscal_month") == month), F.col("amount")
-            )
-        )
-        for year in YEARS
-        for month in MONTHS
-    }
+    cells = {f"{y}_{m}": (y, m) for y in YEARS for m in MONTHS}
+    # Written as SQL text: two dozen conditional sums are slow to build call by call.
     wide = monthly.groupBy(*ACCOUNT).agg(
-        *(total.alias(f"{year}_{month}") for (year, month), total in cell.items()), *measures
-    )
-    rows = F.array(
         *(
-            F.struct(
-                F.lit(month).alias("fiscal_month"),
-                F.col(f"{CURRENT}_{month}").alias("cy"),
-                F.col(f"{PRIOR}_{month}").alias("py"),
+            F.expr(
+                f"coalesce(sum(amount) FILTER (WHERE year_label = '{y}' AND fiscal_month = {m}),"
+                f" 0) AS {name}"
             )
-            for month in MONTHS
-        )
+            for name, (y, m) in cells.items()
+        ),
+        *measures,
     )
-    carried = [c for c in wide.columns if c not in {f"{y}_{m}" for y, m in cell}]
-    return wide.select(*carried, F.inline(rows))
+    carried = [c for c in wide.columns if c not in cells]
+    rows = ", ".join(f"{m}, {CURRENT}_{m}, {PRIOR}_{m}" for m in MONTHS)
+    return wide.selectExpr(*carried, f"stack({len(MONTHS)}, {rows}) AS (fiscal_month, cy, py)")
 
 
 def counterparty_totals(gl: DataFrame) -> DataFrame:

@@ -59,14 +59,14 @@ def review(
 
     The ledger is read three times: for the monthly totals, for the counterparties and
     for the lines of abnormal months. With ``store`` the intermediate results that several
-    tables start from (monthly totals, corridor, contributing lines, both drill-downs) are
+    tables start from (scope, monthly totals, corridor, contributing lines, drill-downs) are
     written to the cluster's shared folder once; without it they are worked out per table.
     """
     keep = write_through if store else (lambda df: df)
     ledger = ledger_at_level(gl, settings.level)
     balances = comparative_columns(trial_balance_at_level(tb, settings.level))
 
-    scoped = scope(balances, settings)
+    scoped = keep(scope(balances, settings))
     chosen = accounts_in_scope(scoped)
     monthly = keep(monthly_totals(ledger))
     months = keep(corridor(monthly, settings).join(chosen.select(*ACCOUNT), ACCOUNT, "left_semi"))
