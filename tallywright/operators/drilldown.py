@@ -1,4 +1,10 @@
-"""From abnormal months to counterparties and single journal lines."""
+"""From abnormal months to counterparties and single journal lines.
+
+Both drill-downs join the whole ledger with a table of at most 12 rows per account and year.
+Hand in stored corridor rows or totals (``session.write_through``): Spark then knows their
+size when it plans the join, sends them to the lines where they are small enough and does
+not shuffle the ledger. Where it cannot know, it plans a sort-merge join and moves all lines.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,7 @@ from tallywright.operators.corridor import abnormal_month_totals, abnormal_month
 from tallywright.operators.ranking import first_per_group, rank_all, top_ranks
 from tallywright.operators.totals import counterparty_totals
 from tallywright.schema import ACCOUNT
+from tallywright.session import write_through
 from tallywright.settings import Settings
 
 MONTH = [*ACCOUNT, "fiscal_month"]
@@ -64,9 +71,13 @@ def top_lines(lines: DataFrame, settings: Settings) -> DataFrame:
 
 
 def line_drilldown(gl: DataFrame, corridor_rows: DataFrame, settings: Settings) -> DataFrame:
-    """Largest contributing lines of the abnormal months."""
-    totals = abnormal_month_totals(corridor_rows)
-    return top_lines(contributing_lines(gl, totals, settings), settings)
+    """Largest contributing lines of the abnormal months.
+
+    The contributing lines are stored, as ranking reads them twice and the ledger is to be
+    read once.
+    """
+    lines = contributing_lines(gl, abnormal_month_totals(corridor_rows), settings)
+    return top_lines(write_through(lines), settings)
 
 
 def top_counterparty(ranked: DataFrame) -> DataFrame:

@@ -31,7 +31,8 @@ from tallywright.operators import (
 from tallywright.operators.mapping import KEYIN, MAP, MapRule
 from tallywright.plans import prepare, reconciliation
 from tallywright.plans.review import review
-from tallywright.schema import ACCOUNT, BALANCES, MONEY
+from tallywright.schema import BALANCES, MONEY
+from tallywright.session import write_through
 from tallywright.settings import FS_LINE
 from tallywright.sources import readers, writers
 from tallywright.testbed import commerce
@@ -596,16 +597,20 @@ def _(spark, sf):
     return ranking.rank_all(parties, drilldown.MONTH, "abs_difference")
 
 
+def _stored_totals(gl: DataFrame) -> DataFrame:
+    """Month totals, stored: their size is then known when the join with all lines is planned."""
+    return write_through(drilldown.month_totals(totals.monthly_totals(gl)))
+
+
 @register("month_total_per_line", "W2", f"{LINE} month_total:d", "SELECT * FROM totalled")
 def _(spark, sf):
     gl = commerce.ledger(spark, sf)
-    return drilldown.with_month_total(gl, drilldown.month_totals(totals.monthly_totals(gl)))
+    return drilldown.with_month_total(gl, _stored_totals(gl))
 
 
 def _contributing(spark, sf):
     gl = commerce.ledger(spark, sf)
-    month_totals = drilldown.month_totals(totals.monthly_totals(gl))
-    return drilldown.contributing_lines(gl, month_totals, SETTINGS)
+    return drilldown.contributing_lines(gl, _stored_totals(gl), SETTINGS)
 
 
 @register("contributing_lines", "W3", LARGE, "SELECT * FROM large")
@@ -615,7 +620,7 @@ def _(spark, sf):
 
 @register("top_lines", "W4", f"{LARGE} rank:i", "SELECT * FROM top_large")
 def _(spark, sf):
-    return drilldown.top_lines(_contributing(spark, sf), SETTINGS)
+    return drilldown.top_lines(write_through(_contributing(spark, sf)), SETTINGS)
 
 
 @register(
@@ -638,7 +643,8 @@ def _(spark, sf):
              line_text, amount DESC) = 1""",
 )
 def _(spark, sf):
-    return drilldown.top_line(drilldown.top_lines(_contributing(spark, sf), SETTINGS))
+    lines = write_through(_contributing(spark, sf))
+    return drilldown.top_line(drilldown.top_lines(lines, SETTINGS))
 
 
 @register(
@@ -706,12 +712,14 @@ def _(spark, sf):
 
 @register("counterparty_drilldown", "V8", f"{PARTY} rank:i", "SELECT * FROM odd_parties")
 def _(spark, sf):
-    return drilldown.counterparty_drilldown(commerce.ledger(spark, sf), _corridor(spark, sf))
+    corridor_rows = write_through(_corridor(spark, sf))
+    return drilldown.counterparty_drilldown(commerce.ledger(spark, sf), corridor_rows)
 
 
 @register("line_drilldown", "V9", f"{LARGE} rank:i", "SELECT * FROM odd_lines")
 def _(spark, sf):
-    return drilldown.line_drilldown(commerce.ledger(spark, sf), _corridor(spark, sf), SETTINGS)
+    corridor_rows = write_through(_corridor(spark, sf))
+    return drilldown.line_drilldown(commerce.ledger(spark, sf), corridor_rows, SETTINGS)
 
 
 _RUNNING = ", ".join(
@@ -798,12 +806,14 @@ def _(spark, sf):
 
 @register("fs_counterparty_drilldown", "V14", f"{PARTY} rank:i", "SELECT * FROM odd_partiesfs")
 def _(spark, sf):
-    return drilldown.counterparty_drilldown(_fs_ledger(spark, sf), _fs_corridor(spark, sf))
+    corridor_rows = write_through(_fs_corridor(spark, sf))
+    return drilldown.counterparty_drilldown(_fs_ledger(spark, sf), corridor_rows)
 
 
 @register("fs_line_drilldown", "V14", f"{LARGE} rank:i", "SELECT * FROM odd_linesfs")
 def _(spark, sf):
-    return drilldown.line_drilldown(_fs_ledger(spark, sf), _fs_corridor(spark, sf), FS_SETTINGS)
+    corridor_rows = write_through(_fs_corridor(spark, sf))
+    return drilldown.line_drilldown(_fs_ledger(spark, sf), corridor_rows, FS_SETTINGS)
 
 
 @register("fs_lead_schedule", "V14 V13", LEAD, _lead_sql("fs", "fs_line"))
