@@ -34,7 +34,7 @@ def parse_erp_amount(value: Column, negative: str = PLAIN) -> Column:
     ``TRAILING_MINUS`` reads ``123-`` as -123. Unreadable text becomes null.
 
     ``value`` is mentioned several times, so it should be a column and not a costly
-    expression; of the result, what comes after uses one expression.
+    expression.
     """
     text = _without(F.btrim(F.coalesce(value.cast("string"), F.lit("0")), F.lit(BLANKS)), ",")
     number = F.when(text == "-", F.lit("0"))
@@ -74,5 +74,4 @@ def sign_by_marker(
     A missing marker negates, unless ``null_is_debit``.
     """
     known = F.coalesce(marker, F.lit(debit if null_is_debit else ""))
-    sign = F.when(known == debit, F.lit(1)).otherwise(F.lit(-1))
-    return (amount * sign).cast(MONEY)
+    return F.when(known == debit, amount).otherwise(-amount)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from tallywright.operators import cleansing
 from tallywright.operators.joins import attach_account_map, unmapped_accounts
 from tallywright.operators.mapping import MapRule, apply_map, with_account_key
 from tallywright.operators.scoping import comparative_columns
-from tallywright.schema import LEDGER, TRIAL_BALANCE, conform
+from tallywright.schema import BALANCES, LEDGER, TRIAL_BALANCE, conform
 
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -41,10 +43,22 @@ class LedgerRules:
 
 @dataclass(frozen=True)
 class Prepared:
-    """Prepared rows and the accounts the map does not know."""
+    """Prepared rows, the accounts the map does not know, and counts of defects."""
 
     rows: DataFrame
     unmapped: DataFrame
+    defects: DataFrame
+
+
+def count_defects(df: DataFrame, dates: bool, amounts: Sequence[str]) -> DataFrame:
+    """One row: lines, lines with the fallback date, lines with an unreadable amount."""
+    unreadable = reduce(or_, (F.col(c).isNull() for c in amounts if c in df.columns), F.lit(False))
+    defaulted = F.col("date_defaulted") if dates else F.lit(False)
+    return df.agg(
+        F.count(F.lit(1)).alias("line_count"),
+        F.count_if(defaulted).alias("defaulted_dates"),
+        F.count_if(unreadable).alias("unreadable_amounts"),
+    )
 
 
 def prepare_ledger(
@@ -72,7 +86,11 @@ def prepare_ledger(
         classified = cleansing.name_from_map(classified)
     named = classified.withColumn("account_name", F.coalesce("account_name", F.lit("")))
     rows = with_account_key(named.transform(rules.final_step))
-    return Prepared(conform(rows, LEDGER), unmapped_accounts(typed, account_map))
+    return Prepared(
+        conform(rows, LEDGER),
+        unmapped_accounts(typed, account_map),
+        count_defects(typed, True, ("amount", "debit", "credit")),
+    )
 
 
 def prepare_trial_balance(
@@ -88,7 +106,9 @@ def prepare_trial_balance(
         "account_name", F.coalesce("account_name", F.lit(""))
     )
     rows = comparative_columns(conform(with_account_key(classified), TRIAL_BALANCE))
-    return Prepared(rows, unmapped_accounts(filled, account_map))
+    return Prepared(
+        rows, unmapped_accounts(filled, account_map), count_defects(filled, False, BALANCES)
+    )
 
 
 def join_years(current: DataFrame, prior: DataFrame) -> DataFrame:

@@ -28,18 +28,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_path(spark: SparkSession) -> str | None:
+    """A new path under the cluster's ``spark.checkpoint.dir``, if the session names one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{folder.rstrip('/')}/tallywright/{uuid.uuid4().hex}" if folder else None
+
+
 def write_through(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it back.
 
     Cuts lineage at a point several results start from, so that they do not repeat the
-    scan behind it, and so that a lost executor costs a re-read instead of a re-run. The
-    folder is the session's ``spark.checkpoint.dir``; where none is named the plan is
-    returned as it is, which is slower but gives the same rows.
+    scan behind it, and so that a lost executor costs a re-read instead of a re-run. Spark
+    also knows the size of a stored table, and sends it to the other side of a join where it
+    is small. Where the session names no folder the plan is returned as it is, which is
+    slower but gives the same rows.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    path = shared_path(spark)
+    if path is None:
         return df
-    path = f"{folder.rstrip('/')}/tallywright/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

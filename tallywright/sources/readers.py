@@ -53,20 +53,23 @@ def charset(name: str) -> str:
     return name
 
 
-def _text_reader(spark: SparkSession, options: TextOptions, schema: T.StructType | None = None):
-    reader = (
-        spark.read.option("sep", options.sep)
-        .option("encoding", charset(options.encoding))
-        .option("header", options.header)
-        .option("multiLine", options.multiline)
-        .option("mode", "PERMISSIVE")
+def reader_options(options: TextOptions) -> dict[str, str | bool]:
+    """Spark's names for the options, for batch and streaming readers."""
+    return {
+        "sep": options.sep,
+        "encoding": charset(options.encoding),
+        "header": options.header,
+        "multiLine": options.multiline,
+        "mode": "PERMISSIVE",
+        "quote": '"' if options.quoting else "",
+        "escape": '"' if options.quoting else "\\",
         # Check every file's heading against the schema instead of binding by position.
-        .option("enforceSchema", False)
-    )
-    if options.quoting:
-        reader = reader.option("quote", '"').option("escape", '"')
-    else:
-        reader = reader.option("quote", "")
+        "enforceSchema": False,
+    }
+
+
+def _text_reader(spark: SparkSession, options: TextOptions, schema: T.StructType | None = None):
+    reader = spark.read.options(**reader_options(options))
     return reader.schema(schema) if schema is not None else reader
 
 

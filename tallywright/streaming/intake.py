@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tallywright.sources.readers import TextOptions, charset
+from tallywright.sources.readers import TextOptions, reader_options
 
 
 def append_new_files(
@@ -28,11 +28,7 @@ def append_new_files(
     """Start one run; ``awaitTermination()`` on the result waits for its end."""
     rows = (
         spark.readStream.schema(schema)
-        .option("sep", options.sep)
-        .option("header", options.header)
-        .option("encoding", charset(options.encoding))
-        .option("quote", '"' if options.quoting else "")
-        .option("enforceSchema", False)
+        .options(**reader_options(options))
         .option("maxFilesPerTrigger", files_per_chunk)
         .csv(folder)
     )

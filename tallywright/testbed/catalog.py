@@ -32,9 +32,10 @@ from tallywright.operators.mapping import KEYIN, MAP, MapRule
 from tallywright.plans import prepare, reconciliation
 from tallywright.plans.review import review
 from tallywright.schema import BALANCES, MONEY
-from tallywright.session import write_through
+from tallywright.session import shared_path, write_through
 from tallywright.settings import FS_LINE
 from tallywright.sources import readers, writers
+from tallywright.streaming.intake import append_new_files
 from tallywright.testbed import commerce
 from tallywright.testbed.commerce import SETTINGS
 from tallywright.testbed.sql import canonical, shape, statement
@@ -146,6 +147,101 @@ def _(spark, sf):
     return readers.read_extract(spark, f"{sf}/nation.parquet")
 
 
+# ---------------------------------------------------------------- files
+# Round trips through the folder the cluster shares.
+
+ORDERS = "o_orderkey:i o_orderpriority note"
+ORDERS_SQL = """SELECT o_orderkey, o_orderpriority,
+    CASE WHEN o_orderstatus = 'F' THEN o_orderpriority || chr(9) || '"x"' ELSE o_orderstatus END
+    AS note FROM orders"""
+
+
+def _folder(spark: SparkSession) -> str:
+    path = shared_path(spark)
+    if path is None:
+        raise RuntimeError("this query needs spark.checkpoint.dir")
+    return path
+
+
+def _noted_orders(spark, sf) -> DataFrame:
+    """Orders with notes that hold separators and quotes."""
+    awkward = F.concat("o_orderpriority", F.lit('\t"x"'))
+    return commerce.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"),
+        "o_orderpriority",
+        F.when(F.col("o_orderstatus") == "F", awkward)
+        .otherwise(F.col("o_orderstatus"))
+        .alias("note"),
+    )
+
+
+@register("text_round_trip", "S1 S5", ORDERS, ORDERS_SQL)
+def _(spark, sf):
+    folder = _folder(spark)
+    writers.write_text(_noted_orders(spark, sf), folder)
+    return readers.read_text(spark, folder)
+
+
+@register("text_intake", "S11", ORDERS, ORDERS_SQL)
+def _(spark, sf):
+    orders, landing, target = _noted_orders(spark, sf), _folder(spark), _folder(spark)
+    writers.write_text(orders.repartition(4), landing)
+    append_new_files(
+        spark, landing, orders.schema, target, _folder(spark), files_per_chunk=2
+    ).awaitTermination()
+    return readers.read_parquet(spark, target)
+
+
+@register(
+    "unquoted_text", "S2", "c_custkey:i c_name",
+    """SELECT c_custkey, '"' || c_name AS c_name FROM customer""",
+)
+def _(spark, sf):
+    folder = _folder(spark)
+    names = commerce.table(spark, sf, "customer").select(
+        "c_custkey", F.concat(F.lit('"'), "c_name").alias("c_name")
+    )
+    names.write.option("sep", "|").option("header", True).option("quote", "").csv(folder)
+    options = readers.TextOptions(sep="|", quoting=False)
+    return readers.read_text_files(spark, f"{folder}/*.csv", options)
+
+
+@register(
+    "recoded_text", "S9 S1", "o_orderkey:i word",
+    """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '완료' WHEN 'O' THEN '똠방'
+    ELSE '진행' END AS word FROM orders""",
+)
+def _(spark, sf):
+    korean, folder = _folder(spark), _folder(spark)
+    status = F.col("o_orderstatus")
+    words = commerce.table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.when(status == "F", "완료").when(status == "O", "똠방").otherwise("진행").alias("word"),
+    )
+    writers.write_text(words, korean, encoding="cp949")
+    options = readers.TextOptions(encoding="cp949")
+    writers.recode_text(spark, f"{korean}/*.csv", folder, options)
+    return readers.read_text(spark, folder)
+
+
+@register("compacted_parquet", "S4", "o_orderkey:i o_custkey:i o_orderstatus",
+          "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def _(spark, sf):
+    many, few = _folder(spark), _folder(spark)
+    orders = commerce.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    writers.write_parquet(orders, many, files=12)
+    writers.compact(spark, many, few)
+    return readers.read_parquet(spark, few)
+
+
+@register("stored_ledger_month", "S4 S3", LINE,
+          "SELECT * FROM gl WHERE year_label = 'CY' AND fiscal_month = 5")
+def _(spark, sf):
+    folder = _folder(spark)
+    writers.write_ledger(commerce.ledger(spark, sf), folder)
+    return readers.read_parquet(spark, folder).filter("year_label = 'CY' AND fiscal_month = 5")
+
+
 # ---------------------------------------------------------------- projection and cleansing
 
 RAW_MAP = [

@@ -6,7 +6,7 @@ conditions are plain ranges on the timestamp, so they reach the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.functions.amounts import sign_by_marker
@@ -19,7 +19,8 @@ SETTINGS = Settings(pm=2_000_000, ctt=100_000, client_label="demo")
 
 SHEET_TYPES = ("STANDARD", "PROMO", "SMALL")
 
-REVIEW_PERIOD = ("1999-01-01", "2001-01-01")
+#: Start of the prior year, start of the current year, end of it.
+REVIEW_PERIOD = ("1999-01-01", "2000-01-01", "2001-01-01")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,19 +40,16 @@ def account_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _ledger(lines: DataFrame, accounts: DataFrame) -> DataFrame:
-    year = F.year("l_shipdate")
+def _ledger(lines: DataFrame, accounts: DataFrame, year_label: Column) -> DataFrame:
+    dated = lines.withColumn("posting_date", F.col("l_shipdate").cast("date"))
     price = F.col("l_extendedprice").cast(MONEY)
     marker = F.when(F.col("l_returnflag") == "R", "H").otherwise("S")
-    posted = lines.join(accounts, "l_partkey").select(
+    posted = dated.join(accounts, "l_partkey").select(
         F.col("l_orderkey").cast("string").alias("journal_no"),
         F.col("l_linenumber").alias("line_no"),
-        F.col("l_shipdate").cast("date").alias("posting_date"),
-        F.when(year == 2000, "CY")
-        .when(year == 1999, "PY")
-        .otherwise(F.concat(F.lit("Y"), year.cast("string")))
-        .alias("year_label"),
-        F.month("l_shipdate").alias("fiscal_month"),
+        "posting_date",
+        year_label.alias("year_label"),
+        F.month("posting_date").alias("fiscal_month"),
         F.col("l_suppkey").cast("string").alias("counterparty"),
         F.col("l_linestatus").alias("line_text"),
         sign_by_marker(price, marker).alias("amount"),
@@ -65,16 +63,24 @@ def _ledger(lines: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def full_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All years; those other than the two reviewed carry labels such as ``Y1998``."""
-    return _ledger(table(spark, sf_dir, "lineitem"), account_dimension(spark, sf_dir))
+    year = F.year("posting_date")
+    label = (
+        F.when(year == 2000, "CY")
+        .when(year == 1999, "PY")
+        .otherwise(F.concat(F.lit("Y"), year.cast("string")))
+    )
+    return _ledger(
+        table(spark, sf_dir, "lineitem"), account_dimension(spark, sf_dir), label
+    )
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings of the current (2000) and the prior year (1999)."""
-    start, end = (F.lit(day).cast("timestamp") for day in REVIEW_PERIOD)
-    lines = table(spark, sf_dir, "lineitem").filter(
-        (F.col("l_shipdate") >= start) & (F.col("l_shipdate") < end)
-    )
-    return _ledger(lines, account_dimension(spark, sf_dir))
+    prior, current, end = (F.lit(day).cast("timestamp") for day in REVIEW_PERIOD)
+    shipped = F.col("l_shipdate")
+    lines = table(spark, sf_dir, "lineitem").filter((shipped >= prior) & (shipped < end))
+    label = F.when(shipped >= current, "CY").otherwise("PY")
+    return _ledger(lines, account_dimension(spark, sf_dir), label)
 
 
 def split_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,7 @@ def test_prepare_ledger(spark, account_map):
         ("999_", 3, "V2", None, 0.0, 0.0),
     ]
     assert records(prepared.unmapped) == [("999",)]
+    assert records(prepared.defects) == [(3, 1, 1)]
     both = join_years(prepared.rows, prepared.rows)
     assert both.count() == 6
 
