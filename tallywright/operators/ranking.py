@@ -16,14 +16,14 @@ from tallywright.operators.totals import total_or_zero
 
 
 def _magnitude(value: Column) -> Column:
-    """Slice of the number line by length and first three digits of the cents.
+    """Slice of the number line by length and first four digits of the cents.
 
-    Grows with ``value`` (not negative), and no slice holds more than 10^(digits - 3)
-    different values; there are at most 900 slices per length.
+    Grows with ``value`` (not negative). A slice holds at most 10^(digits - 4) different
+    values, and there are at most 9,000 slices per length.
     """
     cents = (value * F.lit(100)).cast("decimal(38,0)").cast("string")
-    head = F.rpad(F.substring(cents, 1, 3), 3, "0").cast("int")
-    return F.length(cents) * 1000 + head
+    head = F.rpad(F.substring(cents, 1, 4), 4, "0").cast("int")
+    return F.length(cents) * 10_000 + head
 
 
 def rank_all(df: DataFrame, by: Sequence[str], size: str, name: str = "rank") -> DataFrame:
