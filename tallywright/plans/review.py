@@ -23,7 +23,7 @@ from tallywright.operators.scoping import (
 )
 from tallywright.operators.totals import monthly_totals
 from tallywright.schema import ACCOUNT
-from tallywright.session import write_through
+from tallywright.session import together, write_through
 from tallywright.settings import Settings
 from tallywright.sources.writers import write_parquet
 
@@ -66,14 +66,20 @@ def review(
     ledger = ledger_at_level(gl, settings.level)
     balances = comparative_columns(trial_balance_at_level(tb, settings.level))
 
-    scoped = keep(scope(balances, settings))
+    scoped, monthly = together(
+        lambda: keep(scope(balances, settings)), lambda: keep(monthly_totals(ledger))
+    )
     chosen = accounts_in_scope(scoped)
-    monthly = keep(monthly_totals(ledger))
     months = keep(corridor(monthly, settings).join(chosen.select(*ACCOUNT), ACCOUNT, "left_semi"))
 
-    parties = keep(counterparty_drilldown(ledger, months))
-    large = keep(contributing_lines(ledger, abnormal_month_totals(months), settings))
-    lines = keep(top_lines(large, settings))
+    def counterparties() -> DataFrame:
+        return keep(counterparty_drilldown(ledger, months))
+
+    def largest_lines() -> DataFrame:
+        large = keep(contributing_lines(ledger, abnormal_month_totals(months), settings))
+        return keep(top_lines(large, settings))
+
+    parties, lines = together(counterparties, largest_lines)
     texts = explanations(chosen, months, parties, lines, wording)
 
     return Review(

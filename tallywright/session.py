@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,9 @@ def write_through(df: DataFrame) -> DataFrame:
         return df
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(*tasks: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Results of independent tasks, whose jobs run side by side on the cluster."""
+    with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
+        return [future.result() for future in [pool.submit(task) for task in tasks]]

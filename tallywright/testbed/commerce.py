@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallywright.functions.amounts import sign_by_marker
 from tallywright.operators.cleansing import split_amount
 from tallywright.operators.mapping import with_account_key
+from tallywright.operators.totals import total_or_zero
 from tallywright.schema import ACCOUNT, MONEY, TRIAL_BALANCE, conform
 from tallywright.settings import Settings
 
@@ -94,21 +95,23 @@ def trial_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     Balance-sheet accounts accumulate since the first year, P&L accounts hold one year.
     Accounts of one brand have no upper tier.
     """
-    gl = full_ledger(spark, sf_dir)
-    year = F.year("posting_date")
+    gl = full_ledger(spark, sf_dir).withColumn("year", F.year("posting_date"))
+    account = [*ACCOUNT, "fs_code", "fs_name", "bs_pl"]
+    # One sum per line; the four balances then come from a few rows per account.
+    yearly = gl.groupBy(*account, "year").agg(F.sum("amount").alias("amount"))
 
-    def balance(end: int):
+    def balance(end: int) -> Column:
+        year = F.col("year")
         counts = (year == end) | ((F.col("bs_pl") == "BS") & (year < end))
-        return F.sum(F.when(counts, F.col("amount")).otherwise(F.lit(0).cast(MONEY)))
+        return total_or_zero(F.when(counts, F.col("amount")))
 
-    same_period = F.sum(F.when(year == 1999, F.col("amount")).otherwise(F.lit(0).cast(MONEY)))
-    brand = F.split("account_code", r"\|")[0]
-    totals = gl.groupBy(*ACCOUNT, "account_key", "fs_code", "fs_name", "bs_pl").agg(
+    totals = yearly.groupBy(*account).agg(
         balance(2000).alias("closing"),
         balance(1999).alias("prior_closing"),
-        same_period.alias("prior_same_period"),
+        total_or_zero(F.when(F.col("year") == 1999, F.col("amount"))).alias("prior_same_period"),
         balance(1998).alias("prior2_closing"),
     )
+    brand = F.split("account_code", r"\|")[0]
     tiers = {
         "t1": F.when(brand != "Brand#5", F.col("bs_pl")),
         "t2": F.col("fs_code"),
@@ -117,7 +120,7 @@ def trial_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
         "control_reliance": F.when(F.col("bs_pl") == "BS", "relying").otherwise("not relying"),
         "risk_level": F.when(F.col("fs_code") == "PROMO", "higher").otherwise("lower"),
     }
-    return conform(totals.withColumns(tiers), TRIAL_BALANCE)
+    return conform(with_account_key(totals).withColumns(tiers), TRIAL_BALANCE)
 
 
 def account_map(spark: SparkSession, sf_dir: str) -> DataFrame:
