@@ -141,10 +141,10 @@ def _(spark, sf):
     return writers.stringify(parts, parts.columns)
 
 
-@register("format_by_ending", "S14", "n_name n_regionkey:i",
-          "SELECT n_name, n_regionkey FROM nation")
+@register("format_by_ending", "S14", "c_custkey:i c_name c_mktsegment",
+          "SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def _(spark, sf):
-    return readers.read_extract(spark, f"{sf}/nation.parquet")
+    return readers.read_extract(spark, f"{sf}/customer.parquet")
 
 
 # ---------------------------------------------------------------- files
