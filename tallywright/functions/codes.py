@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Character number of "9"; blanks, signs and digits come before it, letters after.
+LAST_DIGIT = 57
+
 
 def canonical_code(code: Column) -> Column:
     """One spelling per account code.
@@ -14,7 +17,8 @@ def canonical_code(code: Column) -> Column:
     """
     text = code.cast("string")
     number = text.try_cast("decimal(38,10)").try_cast("bigint").cast("string")
-    return F.coalesce(number, text, F.lit("0"))
+    # Text that starts with a letter is no number; a failed cast costs far more than the look.
+    return F.coalesce(F.when(F.ascii(text) <= LAST_DIGIT, number), text, F.lit("0"))
 
 
 def account_key(code: Column, name: Column) -> Column:
