@@ -2,12 +2,15 @@
 
 An existing vocabulary of pieces gives the lattice: every way to cut a word into pieces is a
 path, and the forward recursion in log space sums the paths. Its pieces are ordered by merge
-rank, which gives the first scores; expectation maximisation over the words of all training
-rows, with expected piece counts from the forward and backward recursions, gives the final
-ones. The scores of the pieces and of the end of a text sum to 1, so the model is a
-distribution over texts. No piece crosses a space, so a document's lattice falls apart into its
-words, each of which is scored once per process, and the marginal of the document is the sum
-over its words and the end.
+rank, which gives the first scores; expectation maximisation over the distinct words of all
+training rows, with expected piece counts from the forward and backward recursions, gives the
+final ones. One more arc spans a word of the training rows as a whole. Its weight is the word's
+share of all tokens after an absolute discount, and the discounts together are the weight of
+the paths of pieces: ``p(word) = (c - d) / N + d V / N * lattice(word)``. Words and the end of
+a text have probabilities that sum to 1, so the model is a distribution over texts.
+
+No piece crosses a space, so a document's lattice falls apart into its words: each is scored
+once per process, and the marginal of a document is the sum over its words and the end.
 
 Word counts cover all training rows. Words are joined to documents in two ways: those above a
 ``1 / HOT_WORDS`` share of all tokens are at most ``HOT_WORDS`` in number and go to every task;
@@ -124,10 +127,10 @@ class Lattice:
             out[at] = self.forward(block, node_scores)[-1]
         return out
 
-    def expected(self, words: list[bytes], counts: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        """Expected number of uses of each piece over the counted words."""
+    def expected(self, words: list[bytes], scores: np.ndarray) -> np.ndarray:
+        """Expected number of uses of each piece over the words."""
         node_scores, uses = self.node_scores(scores), np.zeros(len(self.child))
-        for at, block in by_length(words):
+        for _, block in by_length(words):
             spans = list(self.spans(block, node_scores))
             alpha = np.full((block.shape[1] + 1, len(block)), -np.inf)
             beta = alpha.copy()
@@ -136,7 +139,7 @@ class Lattice:
                 np.logaddexp(alpha[end], alpha[start] + score, out=alpha[end])
             for start, end, _, score in reversed(spans):
                 np.logaddexp(beta[start], beta[end] + score, out=beta[start])
-            rest = np.log(counts[at]) - alpha[-1]
+            rest = -alpha[-1]
             for start, end, node, score in spans:
                 use = np.exp(alpha[start] + score + beta[end] + rest)
                 uses += np.bincount(node, weights=use, minlength=len(uses))
@@ -148,6 +151,8 @@ class Lattice:
 
 def by_length(words: list[bytes], cells: int = 60_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and byte matrices of words of one length, each word after a space."""
+    if not words:
+        return
     lengths = np.array([len(w) + 1 for w in words])
     order = np.argsort(lengths, kind="stable")
     cuts = np.flatnonzero(np.diff(lengths[order])) + 1
@@ -208,12 +213,9 @@ def fit(counts: DataFrame, path: str, rounds: int = EM_ROUNDS) -> np.ndarray:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, uses = lattice(path), None
             for batch in batches:
-                words, c = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), float)
-                ends = np.array([not w for w in words], bool)
-                found = model.expected(
-                    [w for w in words if w], c[~ends], scores
-                ) if not ends.all() else np.zeros(len(model.pieces))
-                found[0] += c[ends].sum()
+                words = [w for w in batch.column(0).to_pylist() if w]
+                found = model.expected(words, scores)
+                found[0] += batch.num_rows - len(words)
                 uses = found if uses is None else uses + found
             if uses is not None:
                 used = np.flatnonzero(uses)
@@ -234,19 +236,48 @@ def fit(counts: DataFrame, path: str, rounds: int = EM_ROUNDS) -> np.ndarray:
 
 
 class WordScores:
-    """Log10 probabilities of words, each worked out once as long as there is room."""
+    """Log10 lattice marginals of words, each worked out once as long as there is room."""
 
     def __init__(self, path: str, scores: np.ndarray):
         self.model, self.scores, self.known = lattice(path), scores, {}
 
     def of(self, words: set[bytes]) -> dict[bytes, float]:
         unknown = sorted(words.difference(self.known))
-        new = dict(zip(unknown, self.model.marginals(unknown, self.scores) / LOG10))
+        new = dict(zip(unknown, (self.model.marginals(unknown, self.scores) / LOG10).tolist()))
         if len(self.known) + len(new) <= CACHE_WORDS:
             self.known.update(new)
             return self.known
         return {w: self.known[w] for w in words if w in self.known} | new
 
+    def end(self) -> float:
+        """That a text ends where a word could start: log10 share of the end in both."""
+        inside = sum(
+            math.exp(s) for p, s in zip(self.model.pieces[1:], self.scores[1:]) if p[:1] != b" "
+        )
+        return (self.scores[0] - math.log(max(1.0 - inside, 1e-12))) / LOG10
+
+
+class Smoothing:
+    """Totals of the training tokens and what follows from them.
+
+    The discount comes from the numbers of words that occur once and twice, as usual for
+    absolute discounting. Without training tokens only the lattice counts.
+    """
+
+    def __init__(self, tokens: int, distinct: int, once: int, twice: int):
+        self.tokens, self.distinct = tokens, distinct
+        self.discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+        self.paths = self.discount * distinct / tokens if tokens else 1.0
+        self.denominator = tokens + 0.1 * (distinct + 1)
+
+    def base(self, c: int) -> float:
+        return math.log10((c + 0.1) / self.denominator)
+
+    def word(self, c: int, marginal: float) -> float:
+        if not c:
+            return math.log10(self.paths) + marginal
+        return math.log10((c - self.discount) / self.tokens + self.paths * 10.0**marginal)
+
 
 def score(documents: DataFrame, vocabulary: str, learn: Column | None = None) -> DataFrame:
     """Log10 probability of every whole text, beside a smoothed word-frequency baseline.
@@ -263,20 +294,23 @@ def score(documents: DataFrame, vocabulary: str, learn: Column | None = None) ->
     text = F.col("text").cast("binary").alias("text")
     rows = documents.select(F.col("doc_id").cast("long"), text, learn.alias("learn"))
     counts = stored(word_counts(rows.where("learn")), "word-counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tokens, distinct = int(total[0]), int(total[1])
+    number = lambda k: F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0))
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), number(1), number(2)).first()
+    smoothing = Smoothing(*map(int, total))
+    tokens = smoothing.tokens
     scores = fit(counts, vocabulary, EM_ROUNDS if tokens else 0)
     floor = max(1, -(-tokens // HOT_WORDS))
     hot = {bytes(r["word"]): r["c"] for r in counts.where(F.col("c") >= floor).collect()} if tokens else {}
     send = spark.sparkContext.broadcast((hot, scores))
-    denominator = tokens + 0.1 * (distinct + 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, scores = send.value
-        words, end = WordScores(vocabulary, scores), scores[0] / LOG10
-        base = {w: math.log10((c + 0.1) / denominator) for w, c in hot.items()}
-        end_base = base.get(b"", math.log10(0.1 / denominator))
-        end_known = b"" in base
+        words = WordScores(vocabulary, scores)
+        base = {w: smoothing.base(c) for w, c in hot.items()}
+        full = dict(zip(hot, map(smoothing.word, hot.values(), map(words.of(set(hot)).__getitem__, hot))))
+        end_known = b"" in hot
+        end_base = smoothing.base(hot.get(b"", 0))
+        end = smoothing.word(hot.get(b"", 0), words.end())
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             found = [words_of(t) if t else [] for t in batch.column(1).to_pylist()]
@@ -287,8 +321,7 @@ def score(documents: DataFrame, vocabulary: str, learn: Column | None = None) ->
             out: list[tuple] = []
             for doc_id, learnt, mine in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), found):
                 row += 1
-                known, part = int(end_known), end_base
-                marginal = math.fsum(map(value.__getitem__, mine)) + end
+                known, part, whole = int(end_known), end_base, end
                 rare: Counter[bytes] = Counter()
                 for w in mine:
                     b = base.get(w)
@@ -296,10 +329,11 @@ def score(documents: DataFrame, vocabulary: str, learn: Column | None = None) ->
                         rare[w] += 1
                     else:
                         part += b
+                        whole += full[w]
                         known += 1
                 # The row of the document itself has a key that no word can have.
-                out.append((row, b" %d" % row, 0, doc_id, not learnt, len(mine) + 1, known, part, marginal))
-                out += [(row, w, n, None, None, None, None, None, None) for w, n in rare.items()]
+                out.append((row, b" %d" % row, 0, doc_id, not learnt, len(mine) + 1, known, part, whole))
+                out += [(row, w, n, None, None, None, None, None, value[w]) for w, n in rare.items()]
             for i in range(0, len(out), 16384):
                 columns = list(zip(*out[i : i + 16384]))
                 yield pa.RecordBatch.from_arrays(
@@ -312,11 +346,18 @@ def score(documents: DataFrame, vocabulary: str, learn: Column | None = None) ->
         "n_known long, base double, score double",
     )
     joined = parts.join(counts.where(F.col("c") < floor), "word", "left")
-    n, c = F.col("n").cast("double"), F.coalesce(F.col("c"), F.lit(0))
-    base = F.coalesce("base", n * F.log10((c + 0.1) / denominator))
-    known = F.coalesce("n_known", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))
+    n, c, lattice_score = F.col("n").cast("double"), F.col("c"), F.col("score")
+    counted = F.coalesce(c, F.lit(0))
+    own = F.col("n_tokens").isNotNull()
+    base = F.when(own, F.col("base")).otherwise(n * F.log10((counted + 0.1) / smoothing.denominator))
+    known = F.when(own, F.col("n_known")).when(c.isNotNull(), F.col("n")).otherwise(0)
+    seen = F.log10((c - smoothing.discount) / (tokens or 1) + smoothing.paths * F.pow(F.lit(10.0), lattice_score))
+    unseen = F.lit(math.log10(smoothing.paths)) + lattice_score
+    whole = F.when(own, lattice_score).otherwise(n * F.when(c.isNotNull(), seen).otherwise(unseen))
     return (
-        joined.select("row", "doc_id", "held_out", "n_tokens", known.alias("k"), base.alias("b"), "score")
+        joined.select(
+            "row", "doc_id", "held_out", "n_tokens", known.alias("k"), base.alias("b"), whole.alias("s")
+        )
         .groupBy("row")
         .agg(
             F.max("doc_id").alias("doc_id"),
@@ -324,7 +365,7 @@ def score(documents: DataFrame, vocabulary: str, learn: Column | None = None) ->
             F.max("n_tokens").alias("n_tokens"),
             F.sum("k").cast("long").alias("n_known"),
             F.sum("b").alias("base_score"),
-            F.max("score").alias("score"),
+            F.sum("s").alias("score"),
         )
         .select(
             "doc_id",

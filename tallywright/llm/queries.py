@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import lattice, packing, token_counts, topk, training_order
+from tallywright.llm import (
+    bag_minhash,
+    decontamination,
+    lattice,
+    packing,
+    quality,
+    token_counts,
+    topk,
+    training_order,
+)
 from tallywright.llm.common import table
 
 
@@ -36,6 +45,21 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op7_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bag_minhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "leader")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(
         table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")
@@ -49,7 +73,10 @@ QUERIES = {
         op2_lattice_likelihood,
         op4_training_order,
         op5_exact_top_k,
+        op7_quality_attention,
+        op8_benchmark_containment,
         op9_token_counts,
+        op10_bag_minhash,
     )
 }
 SQL: dict[str, str] = {}
