@@ -11,6 +11,7 @@ from tallywright.llm import (
     lattice,
     packing,
     quality,
+    repeats,
     token_counts,
     topk,
     training_order,
@@ -34,6 +35,10 @@ def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op3_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.materialise(
         table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")
@@ -71,6 +76,7 @@ QUERIES = {
     for f in (
         op1_hierarchical_packing,
         op2_lattice_likelihood,
+        op3_longest_previous_factor,
         op4_training_order,
         op5_exact_top_k,
         op7_quality_attention,
