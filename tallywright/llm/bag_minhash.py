@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import mixed, ready, stored, unit
+from tallywright.llm.common import mixed, ready, stored, unit, with_row_numbers
 from tallywright.llm.components import components
 
 WIDTH, SHARE = 5, 0.8
@@ -334,3 +334,9 @@ def classes(documents: DataFrame, share: float = SHARE) -> DataFrame:
     return labelled.join(heads, "label").select(
         "row", "doc_id", "copy", "class_id", (F.col("row") == F.col("head.row")).alias("leader")
     )
+
+
+def keep_first(documents: DataFrame, share: float = SHARE) -> DataFrame:
+    """``documents``, all columns, with one row of each class: its lowest id, then its first row."""
+    dropped = stored(classes(documents, share).where(~F.col("leader")).select("row"), "dropped")
+    return with_row_numbers(documents).join(dropped, "row", "left_anti").select("rest.*")

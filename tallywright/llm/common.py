@@ -10,8 +10,10 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of text in one Arrow batch. Texts are of any length, so batches are kept short.
 BATCH_ROWS = "512"
@@ -73,6 +75,24 @@ def over_batches(
     return df.mapInArrow(work, schema)
 
 
+def with_row_numbers(documents: DataFrame, row: str = "row", rest: str = "rest") -> DataFrame:
+    """``row`` and all columns in a struct ``rest``, so that no name of theirs can clash.
+
+    Rows are numbered as tasks read them: the same numbers each time for a stored table.
+    """
+    packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias(rest))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            numbers = pa.array(range(at, at + batch.num_rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([numbers, batch.column(0)], names=[row, rest])
+            at += batch.num_rows
+
+    schema = T.StructType([T.StructField(row, T.LongType()), *packed.schema.fields])
+    return packed.mapInArrow(work, schema)
+
+
 def binary_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; empty for null."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

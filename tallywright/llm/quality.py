@@ -216,6 +216,19 @@ def labelled(documents: DataFrame, labels: DataFrame, bound: int) -> list[tuple[
     ]
 
 
+def scores(network: Attention, texts: list[bytes]) -> np.ndarray:
+    """Scores of whole texts, a megabyte or so of them at a time."""
+    out, group, size = [np.zeros(0)], [], 0
+    for i, text in enumerate(texts):
+        group.append(text)
+        size += len(text)
+        if size > 1_000_000 or i == len(texts) - 1:
+            x, owner = encode(group)
+            out.append(network.forward(x, owner, len(group))["p"])
+            group, size = [], 0
+    return np.concatenate(out)
+
+
 def with_scores(documents: DataFrame, model: Attention) -> DataFrame:
     """``row, score`` beside the given ``row`` and ``text`` of every document."""
     spark = documents.sparkSession
@@ -225,16 +238,7 @@ def with_scores(documents: DataFrame, model: Attention) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Attention(send.value)
         for batch in batches:
-            texts, scores = binary_texts(batch.column(1)), []
-            group, size = [], 0
-            for i, text in enumerate(texts):
-                group.append(text)
-                size += len(text)
-                if size > 1_000_000 or i == len(texts) - 1:
-                    x, owner = encode(group)
-                    scores.append(network.forward(x, owner, len(group))["p"])
-                    group, size = [], 0
-            values = np.concatenate(scores) if scores else np.zeros(0)
+            values = scores(network, binary_texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(values, pa.float64())], names=["row", "score"]
             )
@@ -242,6 +246,22 @@ def with_scores(documents: DataFrame, model: Attention) -> DataFrame:
     return documents.select("row", "text").mapInArrow(work, f"row {kind.simpleString()}, score double")
 
 
+def keep_good(documents: DataFrame, labels: DataFrame, least: float, sample: int = SAMPLE) -> DataFrame:
+    """``documents``, all columns, without those that score below ``least``."""
+    spark = ready(documents.sparkSession)
+    bags = labelled(documents, labels, sample)
+    model = train([x for x, _ in bags], [y for _, y in bags])
+    send, at = spark.sparkContext.broadcast(model.weights), documents.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = Attention(send.value)
+        for batch in batches:
+            good = scores(network, binary_texts(batch.column(at))) >= least
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return documents.mapInArrow(work, documents.schema)
+
+
 def classify(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every whole text of ``documents``.
 

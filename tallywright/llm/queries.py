@@ -9,6 +9,7 @@ from tallywright.llm import (
     bag_minhash,
     decontamination,
     lattice,
+    main_text,
     packing,
     quality,
     repeats,
@@ -50,6 +51,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op6_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -79,6 +84,7 @@ QUERIES = {
         op3_longest_previous_factor,
         op4_training_order,
         op5_exact_top_k,
+        op6_composite_density,
         op7_quality_attention,
         op8_benchmark_containment,
         op9_token_counts,

@@ -26,11 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallywright.llm.common import binary_texts, mixed, ready, stored
+from tallywright.llm.common import binary_texts, mixed, ready, stored, with_row_numbers
 
 MATCH, GRAM = 50, 24
 #: Runs or string bytes that a task holds before it sends them.
@@ -115,7 +117,10 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def texts_with_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int | None, bytes]]:
-    """``row, doc_id, text`` of a task's documents; rows are numbered as they are read."""
+    """``row, doc_id, text`` of a task's documents; rows are numbered as they are read.
+
+    That gives a row the same number whenever the same stored table is read.
+    """
     row = TaskContext.get().partitionId() << 36
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1))):
@@ -463,47 +468,103 @@ def joined_spans(firsts: list[int], lasts: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept`` of every row of ``documents``.
+def repeated_spans(documents: DataFrame) -> DataFrame:
+    """``row, firsts, lasts`` of the rows of ``documents`` that repeat earlier documents.
 
-    ``kept`` holds the bytes that stay. Texts are UTF-8 bytes; null and empty ones have none.
-    Rows of one id are documents of their own and neither is earlier than the other; rows
-    without an id stay as they are and remove nothing. Texts shorter than ``MATCH`` bytes stay.
-    ``documents`` must be a stored table, or a plan that gives the same rows in the same order
-    whenever it runs.
+    The byte ranges may overlap. ``documents`` must be a stored table, or a plan that gives the
+    same rows in the same order whenever it runs.
     """
     spark = ready(documents.sparkSession)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = id_and_bytes(documents)
     size = documents.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     hot_from = max(HOT_DOCUMENTS, size // 10 // HOT_KEYS)
 
     shared = stored(shared_runs(keys_sent(rows, buckets), buckets, hot_from), "shared-runs")
-    hot = {(r["bucket"], r["key"]) for r in shared.where(F.col("key").isNotNull()).select("bucket", "key").collect()}
+    hot_rows = shared.where(F.col("key").isNotNull()).select("bucket", "key").collect()
+    hot = {(r["bucket"], r["key"]) for r in hot_rows}
     runs = shared.where(F.col("row").isNotNull()).groupBy("row").agg(F.collect_set("run").alias("runs"))
     texts = packed_texts(rows).join(runs, "row").select("row", "doc_id", "packed", "runs")
     ranges = stored(covered_ranges(strings_sent(texts, buckets, hot), buckets), "ranges")
-    spans = ranges.groupBy("row").agg(
+    return ranges.groupBy("row").agg(
         F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts")
     )
 
+
+def id_and_bytes(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
+def kept_bytes(text: bytes, firsts: list[int] | None, lasts: list[int] | None) -> tuple[bytes, int]:
+    """What stays of a text, and the number of runs that go."""
+    gone = joined_spans(firsts or [], lasts or [])
+    cuts = [0, *(x for span in gone for x in span), len(text)]
+    return b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2])), len(gone)
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept`` of every row of ``documents``.
+
+    ``kept`` holds the bytes that stay. Texts are UTF-8 bytes; null and empty ones have none.
+    Rows of one id are documents of their own and neither is earlier than the other; rows
+    without an id stay as they are and remove nothing. Texts shorter than ``MATCH`` bytes stay.
+    """
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = batch.column(0), []
+            out = []
             for packed, firsts, lasts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 text = unpacked(packed)
-                gone = joined_spans(firsts or [], lasts or [])
-                cuts = [0, *(x for span in gone for x in span), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
-                out.append((len(text), len(text) - len(kept), len(gone), kept))
+                kept, n = kept_bytes(text, firsts, lasts)
+                out.append((len(text), len(text) - len(kept), n, kept))
             columns = list(zip(*out)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    whole = packed_texts(rows).join(spans, "row", "left").select("doc_id", "packed", "firsts", "lasts")
-    return whole.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    whole = packed_texts(id_and_bytes(documents)).join(repeated_spans(documents), "row", "left")
+    return whole.select("doc_id", "packed", "firsts", "lasts").mapInArrow(
+        work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    )
+
+
+def remove_repeats(documents: DataFrame) -> DataFrame:
+    """``documents``, all columns, with what stays of the texts; emptied documents go.
+
+    A character of which only some bytes stay goes as a whole. ``n_chars``, if there is such a
+    column, counts anew where a text changed.
+    """
+    spans = repeated_spans(documents)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                kept_bytes(text.encode(), firsts, lasts)[0].decode(errors="ignore") if firsts else text
+                for text, firsts, lasts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(texts, pa.string()), pc.is_valid(batch.column(2))],
+                names=["rest", "text", "changed"],
+            )
+
+    joined = with_row_numbers(documents).join(spans, "row", "left")
+    joined = joined.select("rest", F.col("rest.text").alias("text"), "firsts", "lasts")
+    schema = T.StructType(
+        [joined.schema["rest"], T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())]
+    )
+    done = joined.mapInArrow(work, schema).where(~F.col("changed") | (F.col("text") != ""))
+    kind = documents.schema["n_chars"].dataType if "n_chars" in documents.columns else None
+
+    def column(name: str):
+        if name == "text":
+            return F.col("text")
+        own = F.col("rest").getField(name)
+        if name == "n_chars":
+            return F.when(F.col("changed"), F.length("text").cast(kind)).otherwise(own).alias(name)
+        return own.alias(name)
+
+    return done.select(*map(column, documents.columns))
 
 
 def digest(kept: DataFrame) -> DataFrame:
