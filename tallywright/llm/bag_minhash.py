@@ -290,7 +290,7 @@ def classes(documents: DataFrame, share: float = SHARE) -> DataFrame:
     firsts = stored(
         rows.join(copies.select(F.col("text").alias("row")), "row").select("row", "signature", "bands"), "firsts"
     )
-    keys = firsts.select("row", F.explode("bands").alias("key"))
+    keys = firsts.select("row", F.posexplode("bands").alias("band", "key"))
     buckets = (
         keys.groupBy("key").agg(F.min("row").alias("pivot"), F.count("*").alias("n")).where(F.col("n") > 1)
     )
@@ -303,7 +303,8 @@ def classes(documents: DataFrame, share: float = SHARE) -> DataFrame:
     edges = stored(verified(near, texts, share), "edges")
     labels = stored(components(edges), "labels")
 
-    large = stored(members.where(F.col("n") > SMALL), "large")
+    # A pair at the threshold shares one of every second band with probability 0.99999.
+    large = stored(members.where((F.col("n") > SMALL) & (F.col("band") % 2 == 0)), "large")
     tried = large.select("key", F.col("pivot").alias("node")).distinct().join(labels, "node", "left")
     tried = tried.select("key", F.coalesce("label", "node").alias("label"))
     for _ in range(PIVOTS):
