@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallywright.schema import MONEY
+from tallywright.schema import MONEY, WIDE
 
 #: How an extract writes negative numbers.
 PLAIN = "plain"
@@ -21,9 +21,12 @@ def zero() -> Column:
 
 
 def to_amount(value: Column, bad_as_zero: bool = False) -> Column:
-    """Number from text: null becomes 0; unreadable text null, or 0 with ``bad_as_zero``."""
+    """Number from text: null becomes 0; unreadable text null, or 0 with ``bad_as_zero``.
+
+    All digits are kept; :func:`settled` rounds to money, once, after signs and scales.
+    """
     text = F.coalesce(value.cast("string"), F.lit("0"))
-    parsed = F.btrim(text, F.lit(BLANKS)).try_cast(MONEY)
+    parsed = F.btrim(text, F.lit(BLANKS)).try_cast(WIDE)
     return F.coalesce(parsed, zero()) if bad_as_zero else parsed
 
 
@@ -47,7 +50,7 @@ def parse_erp_amount(value: Column, negative: str = PLAIN) -> Column:
         number = number.otherwise(text)
     else:
         raise ValueError(f"unknown negative format {negative!r}")
-    return number.try_cast(MONEY)
+    return number.try_cast(WIDE)
 
 
 def _without(text: Column, sign: str) -> Column:
@@ -55,15 +58,29 @@ def _without(text: Column, sign: str) -> Column:
 
 
 def strict_amount(value: Column) -> Column:
-    """Number from text with digit grouping; text that is no number fails the query."""
-    parsed = F.btrim(_without(value, ","), F.lit(BLANKS)).try_cast(MONEY)
-    refused = F.raise_error(F.concat(F.lit("not a number: "), value)).cast(MONEY)
-    return F.coalesce(parsed, F.when(value.isNotNull(), refused))
+    """Amount from text with digit grouping; text that is no amount fails the query.
+
+    So does a number with more digits than an amount has.
+    """
+    parsed = F.btrim(_without(value, ","), F.lit(BLANKS)).try_cast(WIDE)
+    refused = F.raise_error(F.concat(F.lit("not an amount: "), value)).cast(MONEY)
+    exact = F.when(~changed_by_settling(parsed), settled(parsed))
+    return F.coalesce(exact, F.when(value.isNotNull(), refused))
+
+
+def settled(amount: Column) -> Column:
+    """Round to money, half up; null if it is too large."""
+    return amount.try_cast(MONEY)
+
+
+def changed_by_settling(amount: Column) -> Column:
+    """Whether the amount has more digits than money can hold. False for null."""
+    return amount.isNotNull() & ~amount.eqNullSafe(settled(amount))
 
 
 def scale_hundred(amount: Column) -> Column:
     """Undo an ERP's currency shift of two digits."""
-    return (amount * F.lit(100)).cast(MONEY)
+    return (amount.cast(WIDE) * F.lit(100)).cast(WIDE)
 
 
 def sign_by_marker(

@@ -11,7 +11,7 @@ from pyspark.sql.types import NumericType
 from tallywright.functions import amounts, dates
 from tallywright.functions.codes import canonical_code
 from tallywright.operators.mapping import column
-from tallywright.schema import BALANCES, MONEY
+from tallywright.schema import BALANCES, WIDE
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -38,7 +38,7 @@ def coerce_amounts(
 
 def _number(df: DataFrame, name: str, bad_as_zero: bool = False) -> Column:
     if isinstance(df.schema[name].dataType, NumericType):
-        return F.coalesce(column(name).cast(MONEY), amounts.zero())
+        return F.coalesce(column(name).try_cast(WIDE), amounts.zero())
     return amounts.to_amount(column(name), bad_as_zero)
 
 
@@ -80,7 +80,7 @@ def split_amount(df: DataFrame) -> DataFrame:
 
 def compose_amount(df: DataFrame) -> DataFrame:
     """Signed amount from debit and an already negative credit."""
-    return df.withColumn("amount", (F.col("debit") + F.col("credit")).cast(MONEY))
+    return df.withColumn("amount", F.col("debit") + F.col("credit"))
 
 
 def name_from_map(df: DataFrame) -> DataFrame:

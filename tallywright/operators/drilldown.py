@@ -15,7 +15,6 @@ from tallywright.operators.corridor import abnormal_month_totals, abnormal_month
 from tallywright.operators.ranking import first_per_group, rank_all, top_ranks
 from tallywright.operators.totals import counterparty_totals
 from tallywright.schema import ACCOUNT
-from tallywright.session import write_through
 from tallywright.settings import Settings
 
 MONTH = [*ACCOUNT, "fiscal_month"]
@@ -73,11 +72,10 @@ def top_lines(lines: DataFrame, settings: Settings) -> DataFrame:
 def line_drilldown(gl: DataFrame, corridor_rows: DataFrame, settings: Settings) -> DataFrame:
     """Largest contributing lines of the abnormal months.
 
-    The contributing lines are stored, as ranking reads them twice and the ledger is to be
-    read once.
+    Ranking reads the contributing lines twice; a plan that wants the ledger read once stores
+    them between :func:`contributing_lines` and :func:`top_lines`, as the review does.
     """
-    lines = contributing_lines(gl, abnormal_month_totals(corridor_rows), settings)
-    return top_lines(write_through(lines), settings)
+    return top_lines(contributing_lines(gl, abnormal_month_totals(corridor_rows), settings), settings)
 
 
 def top_counterparty(ranked: DataFrame) -> DataFrame:

@@ -36,14 +36,47 @@ def attach_headers(
     return lines.join(unique, keys, "left")
 
 
+def repeated_map_codes(account_map: DataFrame) -> DataFrame:
+    """Codes that a map has more than once in one spelling: rows, and different contents."""
+    extra = [c for c in MAP_COLUMNS if c != "detail_code" and c in account_map.columns]
+    return (
+        account_map.groupBy(canonical_code(F.col("detail_code")).alias("detail_code"))
+        .agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.size(F.collect_set(F.struct(*extra))).alias("variants"),
+        )
+        .filter(F.col("detail_code").isNotNull() & (F.col("row_count") > 1))
+    )
+
+
+def unique_accounts(account_map: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per account code of a map, in its canonical spelling.
+
+    Exact copies count once. A code whose rows differ fails the query by name, as it would
+    multiply ledger lines (:func:`repeated_map_codes` lists such codes).
+    """
+    content = F.struct(*columns)
+    code = canonical_code(F.col("detail_code")).alias("detail_code")
+    found = (
+        account_map.groupBy(code)
+        .agg(F.min(content).alias("low"), F.max(content).alias("high"))
+        .filter(F.col("detail_code").isNotNull())
+    )
+    refused = F.raise_error(F.concat(F.lit("the account map has different rows for "), "detail_code"))
+    checked = F.when(F.col("low").eqNullSafe(F.col("high")), F.col("low")).otherwise(
+        refused.cast(found.schema["low"].dataType)
+    )
+    return found.select("detail_code", checked.alias("row")).select(
+        "detail_code", *(F.col("row").getField(c).alias(c) for c in columns)
+    )
+
+
 def attach_account_map(
     df: DataFrame, account_map: DataFrame, code: str = "account_code"
 ) -> DataFrame:
     """Add the map's columns by account code; both codes are brought to one spelling."""
     extra = [c for c in MAP_COLUMNS if c != "detail_code" and c in account_map.columns]
-    dimension = account_map.select(
-        canonical_code(F.col("detail_code")).alias("detail_code"), *extra
-    )
+    dimension = unique_accounts(account_map, extra)
     facts = df.drop(*MAP_COLUMNS).withColumn(code, canonical_code(column(code)))
     return facts.join(dimension, facts[code] == dimension["detail_code"], "left")
 
@@ -52,9 +85,8 @@ def attach_account_names(
     df: DataFrame, account_map: DataFrame, code: str = "account_code"
 ) -> DataFrame:
     """Add only the account name by account code."""
-    names = account_map.select(
-        canonical_code(F.col("detail_code")).alias(code),
-        F.col("detail_name").alias("account_name"),
+    names = unique_accounts(account_map, ["detail_name"]).select(
+        F.col("detail_code").alias(code), F.col("detail_name").alias("account_name")
     )
     return (
         df.drop("account_name").withColumn(code, canonical_code(column(code))).join(names, code, "left")

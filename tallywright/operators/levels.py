@@ -26,6 +26,22 @@ LINE_DEFAULTS = {
 }
 
 
+#: The line of all accounts that have none, in the ledger and in the trial balance.
+UNMAPPED_CODE, UNMAPPED_NAME = "UNMAPPED", "not mapped to a line"
+
+
+def _named_lines(df: DataFrame) -> DataFrame:
+    """Give accounts without a line the one named line, which has no class."""
+    mapped = F.col("fs_code").isNotNull() & F.col("fs_name").isNotNull()
+    return df.withColumns(
+        {
+            "fs_code": F.when(mapped, F.col("fs_code")).otherwise(UNMAPPED_CODE),
+            "fs_name": F.when(mapped, F.col("fs_name")).otherwise(UNMAPPED_NAME),
+            "bs_pl": F.when(mapped, F.col("bs_pl")),
+        }
+    )
+
+
 def _key_by_line(df: DataFrame) -> DataFrame:
     return with_account_key(
         df.withColumns(
@@ -42,7 +58,7 @@ def ledger_at_level(gl: DataFrame, level: str) -> DataFrame:
     if level == DETAIL:
         return gl
     if level == FS_LINE:
-        return _key_by_line(gl)
+        return _key_by_line(_named_lines(gl))
     raise ValueError(f"unknown level {level!r}")
 
 
@@ -51,9 +67,10 @@ def statement_line_totals(tb: DataFrame) -> DataFrame:
 
     Grouped by code, name and class together, which needs no join back to the accounts; a
     code with two names or classes gives two lines (see ``checks.ambiguous_fs_codes``).
+    Accounts without a line make up one of their own.
     """
     return (
-        tb.filter(F.col("fs_code").isNotNull() & F.col("fs_name").isNotNull())
+        _named_lines(tb)
         .groupBy("fs_code", "fs_name", "bs_pl")
         .agg(*(total_or_zero(F.col(b)).alias(b) for b in BALANCES))
     )

@@ -14,9 +14,6 @@ from tallywright.functions.codes import account_key
 MAP = "MAP"
 KEYIN = "KEYIN"
 
-#: A map is configuration; a larger frame is a mistake, not a map.
-MAX_MAP_ROWS = 10_000
-
 
 @dataclass(frozen=True)
 class MapRule:
@@ -32,27 +29,37 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _config_rows(df: DataFrame) -> list:
-    rows = df.take(MAX_MAP_ROWS + 1)
-    if len(rows) > MAX_MAP_ROWS:
-        raise ValueError(f"a map may hold at most {MAX_MAP_ROWS} rows")
-    return rows
-
-
 def rules_from(
     df: DataFrame, method: str = "method", asis: str = "asis", tobe: str = "tobe"
 ) -> list[MapRule]:
-    """Rules from a map table; rows of any other kind than MAP and KEYIN are ignored."""
+    """Rules from a map table; rows of any other kind than MAP and KEYIN are ignored.
+
+    Repeated rules count once. Two rules of one kind that give a standard column different
+    sources are refused. What reaches the driver is one row per kind and standard column,
+    however many rows the table has.
+    """
     picked = df.select(
-        *(column(c).cast("string").alias(n) for c, n in ((method, "m"), (asis, "a"), (tobe, "t")))
+        *(column(c).cast("string").alias(n) for c, n in ((method, "m"), (asis, "a"), (tobe, "t"))),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    source = F.struct("a")
+    rules = (
+        picked.filter(F.col("m").isin(MAP, KEYIN))
+        .groupBy("m", "t")
+        .agg(F.min(source).alias("low"), F.max(source).alias("high"), F.min("place").alias("place"))
+        .orderBy("place")
+        .collect()
     )
-    return [MapRule(r.m, r.a, r.t) for r in _config_rows(picked) if r.m in (MAP, KEYIN)]
+    conflicts = sorted(str(r.t) for r in rules if r.low.a != r.high.a)
+    if conflicts:
+        raise ValueError(f"the map gives these columns more than one source: {conflicts}")
+    return [MapRule(r.m, r.low.a, r.t) for r in rules]
 
 
 def flags_from(df: DataFrame, on: str = "O") -> set[str]:
     """Names of the flags that are switched on; the table has name and check columns."""
     name, check = (column(c).cast("string") for c in df.columns[:2])
-    return {r[0] for r in _config_rows(df.select(name, check)) if r[1] == on}
+    return {r[0] for r in df.filter(check == on).select(name).distinct().collect()}
 
 
 def apply_map(df: DataFrame, rules: Iterable[MapRule]) -> DataFrame:

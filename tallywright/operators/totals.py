@@ -53,6 +53,23 @@ def monthly_totals(gl: DataFrame) -> DataFrame:
     )
 
 
+def left_out_lines(gl: DataFrame) -> DataFrame:
+    """Lines that month reports cannot show, by reason, with their number and amount."""
+    year, month = F.col("year_label"), F.col("fiscal_month")
+    reason = (
+        F.when(year.isNull(), "no year")
+        .when(~year.isin(*YEARS), "other year")
+        .when(month.isNull(), "no month")
+        .when(~month.between(1, 12), "other month")
+    )
+    return (
+        gl.withColumn("reason", reason)
+        .filter(F.col("reason").isNotNull())
+        .groupBy("reason")
+        .agg(F.count(F.lit(1)).alias("line_count"), total_or_zero(F.col("amount")).alias("amount"))
+    )
+
+
 def account_month_pivot(monthly: DataFrame) -> DataFrame:
     """One row per account and month that occurs, both years as columns."""
     return monthly.groupBy(*ACCOUNT, "fiscal_month").agg(

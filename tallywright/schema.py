@@ -5,12 +5,15 @@ Raw input is read as text and cast to these types; nothing is inferred.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
 
+#: What amounts are read and worked with before they are settled as :data:`MONEY`.
+WIDE = T.DecimalType(38, 6)
+
 #: Columns that identify one account, in the ledger and in the trial balance.
 ACCOUNT = ["account_code", "account_name"]
 
@@ -65,12 +68,17 @@ TRIAL_BALANCE = _struct(
 ACCOUNT_MAP = _struct(*((name, _TEXT) for name in MAP_COLUMNS))
 
 
+def _typed(value: Column, kind: T.DataType) -> Column:
+    """Cast; an amount too large for its type becomes null instead of failing the job."""
+    return value.try_cast(kind) if isinstance(kind, T.DecimalType) else value.cast(kind)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project ``df`` onto ``schema``: declared order and types, absent columns null."""
     present = set(df.columns)
     return df.select(
         *(
-            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+            _typed(F.col(f.name) if f.name in present else F.lit(None), f.dataType).alias(f.name)
             for f in schema.fields
         )
     )

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 #: What the plans expect of a session. Joins carry no broadcast hints: Spark broadcasts a
@@ -56,4 +57,6 @@ def write_through(df: DataFrame) -> DataFrame:
 def together(*tasks: Callable[[], DataFrame]) -> list[DataFrame]:
     """Results of independent tasks, whose jobs run side by side on the cluster."""
     with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
-        return [future.result() for future in [pool.submit(task) for task in tasks]]
+        # Each thread takes the job group, pool and tags of its caller.
+        futures = [pool.submit(inheritable_thread_target(task)) for task in tasks]
+        return [future.result() for future in futures]

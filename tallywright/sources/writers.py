@@ -116,8 +116,10 @@ def append_jdbc(
 
     User and password come in ``properties``; nothing is read from elsewhere.
     """
+    # The writer would coalesce, and so run all that comes before it in that few tasks.
     (
-        df.write.format("jdbc")
+        df.repartition(connections)
+        .write.format("jdbc")
         .mode("append")
         .options(**dict(properties))
         .option("url", url)

@@ -292,11 +292,11 @@ def _(spark, sf):
 @register(
     "flagged_steps", "P5 C6 C7 C8 C9", f"{KEY} journal_no year_label amount:d debit:d credit:d",
     """SELECT *, 'CY' AS year_label, greatest(amount, 0) AS debit, -least(amount, 0) AS credit
-    FROM (SELECT * EXCLUDE (year_label) FROM gl)""",
+    FROM (SELECT * EXCLUDE (year_label) FROM full_gl)""",
 )
 def _(spark, sf):
     first = cleansing.apply_flags(
-        commerce.ledger(spark, sf), {cleansing.STAMP_YEAR, cleansing.SPLIT_AMOUNT}, "CY"
+        commerce.full_ledger(spark, sf), {cleansing.STAMP_YEAR, cleansing.SPLIT_AMOUNT}, "CY"
     )
     # Credits made negative add up to the signed amount again; split it once more.
     again = cleansing.apply_flags(
@@ -306,9 +306,9 @@ def _(spark, sf):
 
 
 @register("negated_credit", "C6", "journal_no line_no:i credit:d",
-          "SELECT journal_no, line_no, least(amount, 0) AS credit FROM gl")
+          "SELECT journal_no, line_no, least(amount, 0) AS credit FROM full_gl")
 def _(spark, sf):
-    return cleansing.negate_credit(commerce.split_ledger(spark, sf))
+    return cleansing.negate_credit(cleansing.split_amount(commerce.full_ledger(spark, sf)))
 
 
 @register("default_counterparty", "C1", "BELNR BUZEI counterparty",
@@ -357,20 +357,42 @@ def _(spark, sf):
 
 
 @register("scaled_amounts", "C4", "journal_no line_no:i amount:d",
-          "SELECT journal_no, line_no, amount * 100 AS amount FROM gl")
+          "SELECT journal_no, line_no, amount * 100 AS amount FROM full_gl")
 def _(spark, sf):
-    return commerce.ledger(spark, sf).withColumn("amount", amounts.scale_hundred(F.col("amount")))
+    ledger = commerce.full_ledger(spark, sf)
+    return ledger.withColumn("amount", amounts.scale_hundred(F.col("amount")))
+
+
+@register(
+    "fine_amounts", "C3 C4", "l_orderkey:i l_linenumber:i plain:d changed:b scaled:d",
+    """SELECT l_orderkey, l_linenumber, CAST(a AS DECIMAL(18,2)) AS plain,
+    CAST(a AS DECIMAL(18,2)) <> a AS changed, CAST(a * 100 AS DECIMAL(18,2)) AS scaled
+    FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS a
+          FROM lineitem)""",
+)
+def _(spark, sf):
+    # Amounts of four decimals: scaled first and rounded once, they lose nothing.
+    exact = F.col("l_extendedprice").cast(MONEY) * F.col("l_discount").cast("decimal(4,2)")
+    lines = commerce.table(spark, sf, "lineitem").withColumn("text", exact.cast("string"))
+    parsed = lines.withColumn("amount", amounts.parse_erp_amount(F.col("text")))
+    return parsed.withColumns(
+        {
+            "plain": amounts.settled(F.col("amount")),
+            "changed": amounts.changed_by_settling(F.col("amount")),
+            "scaled": amounts.settled(amounts.scale_hundred(F.col("amount"))),
+        }
+    )
 
 
 @register(
     "signed_by_marker", "C5", "BELNR BUZEI signed:d signed_default:d",
-    """SELECT BELNR, BUZEI, CASE WHEN SHKZG = 'S' THEN a ELSE -a END AS signed,
+    f"""SELECT BELNR, BUZEI, CASE WHEN SHKZG = 'S' THEN a ELSE -a END AS signed,
     CASE WHEN coalesce(SHKZG, 'S') = 'S' THEN a ELSE -a END AS signed_default
-    FROM (SELECT *, TRY_CAST(replace(trim(DMBTR), ',', '') AS DECIMAL(18,2)) AS a FROM raw
-          WHERE DMBTR IS NOT NULL AND DMBTR <> '-')""",
+    FROM (SELECT *, CASE WHEN t = '-' THEN 0 ELSE TRY_CAST(t AS DECIMAL(18,2)) END AS a
+          FROM (SELECT *, {_ERP} AS t FROM raw))""",
 )
 def _(spark, sf):
-    raw = commerce.raw_extract(spark, sf).filter("DMBTR IS NOT NULL AND DMBTR <> '-'")
+    raw = commerce.raw_extract(spark, sf)
     amount = amounts.parse_erp_amount(F.col("DMBTR"))
     return raw.withColumns(
         {
@@ -394,10 +416,10 @@ def _(spark, sf):
 @register(
     "shifted_fiscal_month", "C11", "journal_no line_no:i posting_date fiscal_month:i",
     "SELECT journal_no, line_no, posting_date, (month(posting_date) + 8) % 12 + 1 AS fiscal_month"
-    " FROM gl",
+    " FROM full_gl",
 )
 def _(spark, sf):
-    return commerce.ledger(spark, sf).withColumn(
+    return commerce.full_ledger(spark, sf).withColumn(
         "fiscal_month", dates.fiscal_month(F.col("posting_date"), first_month=4)
     )
 
@@ -541,6 +563,30 @@ def _(spark, sf):
     )
 
 
+REPEATED_MAP = f"""SELECT {canonical('detail_code')} AS code, fs_code FROM (
+    SELECT s_suppkey::VARCHAR AS detail_code, s_nationkey AS fs_code FROM supplier
+    UNION ALL SELECT lpad(s_suppkey::VARCHAR, 9, '0'), s_nationkey FROM supplier WHERE s_suppkey % 3 = 0
+    UNION ALL SELECT s_suppkey::VARCHAR || '.0', -1 FROM supplier WHERE s_suppkey % 5 = 0)"""
+
+
+@register(
+    "repeated_map_codes", "J2 J4", "detail_code row_count:i variants:i",
+    f"""SELECT code AS detail_code, count(*) AS row_count, count(DISTINCT fs_code) AS variants
+    FROM ({REPEATED_MAP}) GROUP BY code HAVING count(*) > 1""",
+)
+def _(spark, sf):
+    key, line = F.col("s_suppkey"), F.col("s_nationkey").cast("string").alias("fs_code")
+    suppliers = commerce.table(spark, sf, "supplier")
+    plain = suppliers.select(key.cast("string").alias("detail_code"), line)
+    padded = suppliers.filter(key % 3 == 0).select(
+        F.lpad(key.cast("string"), 9, "0").alias("detail_code"), line
+    )
+    other = suppliers.filter(key % 5 == 0).select(
+        F.concat(key.cast("string"), F.lit(".0")).alias("detail_code"), F.lit("-1").alias("fs_code")
+    )
+    return joins.repeated_map_codes(plain.union(padded).union(other))
+
+
 @register("month_spine", "J5", f"{KEY} fiscal_month:i cy:d py:d", "SELECT * FROM spine")
 def _(spark, sf):
     return totals.month_spine(totals.monthly_totals(commerce.ledger(spark, sf)))
@@ -571,25 +617,30 @@ def _(spark, sf):
     """SELECT *, coalesce(tb_amount, 0) - coalesce(gl_amount, 0) AS difference,
     CASE WHEN gl_amount IS NULL THEN 'tb only' WHEN tb_amount IS NULL THEN 'gl only'
          WHEN tb_amount = gl_amount THEN 'matched' ELSE 'differs' END AS status
-    FROM (SELECT account_code, account_name, 'CY' AS year_label,
+    FROM (SELECT replace(account_code, 'Brand#9|', 'Brand#90|') AS account_code, account_name,
+                 'CY' AS year_label,
                  closing - CASE WHEN bs_pl = 'BS' THEN prior_closing ELSE 0 END AS tb_amount
-          FROM tb WHERE t3 <> 'Brand#9'
+          FROM tb
           UNION ALL
-          SELECT account_code, account_name, 'PY',
+          SELECT replace(account_code, 'Brand#9|', 'Brand#90|'), account_name, 'PY',
                  CASE WHEN bs_pl = 'BS' THEN prior_closing - prior2_closing
-                      ELSE prior_same_period END FROM tb WHERE t3 <> 'Brand#9') t
-    FULL JOIN (SELECT account_code, account_name, year_label, sum(amount) AS gl_amount FROM gl
-               WHERE NOT (fs_code = 'PROMO' AND line_text = 'F') AND brand <> 'Brand#7'
+                      ELSE prior_same_period END FROM tb) t
+    FULL JOIN (SELECT CASE WHEN fs_code = 'PROMO' AND line_text = 'F' THEN 'SUSPENSE'
+                      ELSE replace(account_code, 'Brand#7|', 'Brand#70|') END AS account_code,
+                      account_name, year_label, sum(amount) AS gl_amount FROM gl
                GROUP BY ALL) g
     USING (account_code, account_name, year_label)""",
 )
 def _(spark, sf):
-    # Breaks are planted: lines and accounts left out of either side.
-    gl = commerce.ledger(spark, sf).filter(
-        ~((F.col("fs_code") == "PROMO") & (F.col("line_text") == "F"))
-        & ~F.col("account_code").startswith("Brand#7|")
+    # Breaks are planted: lines and accounts that carry another code on one side.
+    suspense = (F.col("fs_code") == "PROMO") & (F.col("line_text") == "F")
+    moved = F.replace("account_code", F.lit("Brand#7|"), F.lit("Brand#70|"))
+    gl = commerce.ledger(spark, sf).withColumn(
+        "account_code", F.when(suspense, "SUSPENSE").otherwise(moved)
+    )
+    tb = commerce.trial_balance(spark, sf).withColumn(
+        "account_code", F.replace("account_code", F.lit("Brand#9|"), F.lit("Brand#90|"))
     )
-    tb = commerce.trial_balance(spark, sf).filter("t3 <> 'Brand#9'")
     return reconciliation.reconciliation(tb, gl)
 
 
@@ -638,6 +689,53 @@ def _(spark, sf):
     return months.net_movement(totals.monthly_totals(commerce.ledger(spark, sf)))
 
 
+@register(
+    "left_out_lines", "A4 A6", "reason line_count:i amount:d",
+    """SELECT CASE WHEN y = 1998 THEN 'no year' WHEN year_label NOT IN ('CY', 'PY') THEN 'other year'
+    WHEN line_text = 'F' THEN 'no month' ELSE 'other month' END AS reason,
+    count(*) AS line_count, sum(amount) AS amount FROM full_gl
+    WHERE y = 1998 OR year_label NOT IN ('CY', 'PY') OR line_text = 'F' OR fiscal_month = 12
+    GROUP BY 1""",
+)
+def _(spark, sf):
+    gl = commerce.full_ledger(spark, sf)
+    missing = F.when(F.col("line_text") == "F", None)
+    return totals.left_out_lines(
+        gl.withColumns(
+            {
+                "year_label": F.when(F.col("year_label") != "Y1998", F.col("year_label")),
+                "fiscal_month": missing.when(F.col("fiscal_month") == 12, 13).otherwise(
+                    F.col("fiscal_month")
+                ),
+            }
+        )
+    )
+
+
+@register(
+    "fs_unmapped", "V14 A7", f"{KEY} closing:d cy:d",
+    """SELECT code AS account_code, name AS account_name, closing, cy
+    FROM (SELECT CASE WHEN t3 = 'Brand#3' THEN 'UNMAPPED' ELSE fs_code END AS code,
+                 CASE WHEN t3 = 'Brand#3' THEN 'not mapped to a line' ELSE fs_name END AS name,
+                 sum(closing) AS closing FROM tb GROUP BY ALL)
+    FULL JOIN (SELECT CASE WHEN brand = 'Brand#3' THEN 'UNMAPPED' ELSE fs_code END AS code,
+                      sum(amount) AS cy FROM gl WHERE year_label = 'CY' GROUP BY ALL)
+    USING (code)""",
+)
+def _(spark, sf):
+    def without_line(df):
+        return df.withColumn(
+            "fs_code", F.when(~F.col("account_code").startswith("Brand#3|"), F.col("fs_code"))
+        )
+
+    tb = levels.trial_balance_at_level(without_line(commerce.trial_balance(spark, sf)), FS_LINE)
+    gl = levels.ledger_at_level(without_line(commerce.ledger(spark, sf)), FS_LINE)
+    cy = totals.account_year_pivot(gl).drop("py")
+    return tb.select("account_code", "account_name", "closing").join(
+        cy, ["account_code", "account_name"], "full_outer"
+    )
+
+
 @register(
     "statement_line_totals", "A7 J7", "fs_code fs_name bs_pl closing:d prior_closing:d "
     "prior_same_period:d prior2_closing:d", "SELECT * FROM tbfs",
@@ -1013,10 +1111,10 @@ def _(spark, sf):
 
 @register(
     "millions", "V12", "journal_no line_no:i millions:i",
-    "SELECT journal_no, line_no, CAST(trunc(amount * 100 / 1000000) AS BIGINT) AS millions FROM gl",
+    "SELECT journal_no, line_no, CAST(trunc(amount * 100 / 1000000) AS BIGINT) AS millions FROM full_gl",
 )
 def _(spark, sf):
-    return commerce.ledger(spark, sf).withColumn(
+    return commerce.full_ledger(spark, sf).withColumn(
         "millions", ratios.whole_millions(F.col("amount") * 100)
     )
 
