@@ -15,38 +15,56 @@ shingles are compared with the item's as texts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.common import ready, stored
 
 WIDTH, SHARE = 5, 0.8
+#: Fixed value: what separates lower-cased words.
+SEPARATORS = "[\\x00-/:-`{-\\x7f]+"
 #: Sketch values that may be sent to every task; beyond that Spark shuffles both sides.
 SENT_VALUES = 1_000_000
 
 
 def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    """Lower-cased words. ASCII signs and blanks separate them; other characters belong to them."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, also where ``use`` has a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _starts(words: Column, width: int) -> tuple[Column, Column]:
+    """Places of the first words of all shingles, and the last of them; -1 for an empty text."""
+    last = F.when(F.size(words) == 0, -1).otherwise(F.greatest(F.size(words) - width, F.lit(0)))
+    return F.sequence(F.lit(0), F.greatest(last, F.lit(0))), last
 
 
 def hashed_shingles(words: Column, width: int = WIDTH) -> Column:
     """Hashes of all runs of ``width`` words, in order; a shorter text is one shingle."""
-    size = F.size(words)
-    starts = F.sequence(F.lit(1), F.greatest(size - (width - 1), F.lit(1)))
-    return F.when(size == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, width)))
-    )
+
+    def of(own: Column) -> Column:
+        starts, last = _starts(own, width)
+        hashes = F.transform(starts, lambda i: F.xxhash64(*(F.get(own, i + k) for k in range(width))))
+        return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(hashes)
+
+    return _once(words, of)
 
 
 def shingles(words: Column, width: int = WIDTH) -> Column:
     """The distinct shingles themselves."""
-    size = F.size(words)
-    starts = F.sequence(F.lit(1), F.greatest(size - (width - 1), F.lit(1)))
-    return F.when(size == 0, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " ")))
-    )
+
+    def of(own: Column) -> Column:
+        starts, last = _starts(own, width)
+        texts = F.transform(starts, lambda i: F.concat_ws(" ", F.slice(own, i + 1, width)))
+        return F.when(last < 0, F.array().cast("array<string>")).otherwise(F.array_distinct(texts))
+
+    return _once(words, of)
 
 
 def sketches(items: DataFrame, share: float = SHARE) -> DataFrame:

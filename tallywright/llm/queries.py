@@ -91,4 +91,39 @@ QUERIES = {
         op10_bag_minhash,
     )
 }
-SQL: dict[str, str] = {}
+
+#: Words and shingles of :mod:`tallywright.llm.decontamination`, and exact integer scores.
+SQL: dict[str, str] = {
+    "op5_exact_top_k": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+    WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 5""",
+    "op8_benchmark_containment": r"""
+WITH texts AS (
+    SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL
+    UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL
+), split AS (
+    SELECT side, id, list_filter(
+        regexp_split_to_array(lower(coalesce(text, '')), '[\x00-/:-`{-\x7f]+'), w -> w <> '') AS w
+    FROM texts
+), shingles AS (
+    SELECT DISTINCT side, id, unnest(list_transform(
+        range(1, greatest(len(w) - 4, 1) + 1), i -> array_to_string(w[i:i + 4], ' '))) AS s
+    FROM split WHERE len(w) > 0
+), sizes AS (SELECT id, count(*) AS n_item FROM shingles WHERE side = 'b' GROUP BY id),
+shared AS (
+    SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared
+    FROM shingles d JOIN shingles b ON d.s = b.s WHERE d.side = 'd' AND b.side = 'b' GROUP BY ALL
+)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM shared JOIN sizes ON item_id = sizes.id WHERE n_shared >= 0.8 * n_item""",
+}
