@@ -96,9 +96,9 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op5_exact_top_k": """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
     SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
     FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
@@ -113,11 +113,11 @@ WITH texts AS (
     UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL
 ), split AS (
     SELECT side, id, list_filter(
-        regexp_split_to_array(lower(coalesce(text, '')), '[\x00-/:-`{-\x7f]+'), w -> w <> '') AS w
+        regexp_split_to_array(lower(coalesce(text, '')), '[\x00-/:-`{-\x7f]+'), lambda w: w <> '') AS w
     FROM texts
 ), shingles AS (
     SELECT DISTINCT side, id, unnest(list_transform(
-        range(1, greatest(len(w) - 4, 1) + 1), i -> array_to_string(w[i:i + 4], ' '))) AS s
+        range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
     FROM split WHERE len(w) > 0
 ), sizes AS (SELECT id, count(*) AS n_item FROM shingles WHERE side = 'b' GROUP BY id),
 shared AS (
