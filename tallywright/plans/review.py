@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, fields
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -23,7 +25,7 @@ from tallywright.operators.scoping import (
 )
 from tallywright.operators.totals import monthly_totals
 from tallywright.schema import ACCOUNT
-from tallywright.session import together, write_through
+from tallywright.session import remove_folder, shared_path, together, write_through
 from tallywright.settings import Settings
 from tallywright.sources.writers import write_parquet
 
@@ -41,11 +43,26 @@ class Review:
     balances: DataFrame
     explanations: DataFrame
     lead: DataFrame
+    #: Where this review keeps its intermediate tables; :meth:`close` removes it.
+    work_folder: str | None = None
 
     def write(self, folder: str, mode: str = "errorifexists") -> None:
         """Write every table as Parquet under ``folder``."""
         for field in fields(self):
-            write_parquet(getattr(self, field.name), f"{folder}/{field.name}", mode=mode)
+            table = getattr(self, field.name)
+            if isinstance(table, DataFrame):
+                write_parquet(table, f"{folder}/{field.name}", mode=mode)
+
+    def close(self) -> None:
+        """Remove the intermediate tables. The result tables cannot be read afterwards."""
+        if self.work_folder is not None:
+            remove_folder(self.lead.sparkSession, self.work_folder)
+
+    def __enter__(self) -> Review:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
 
 def review(
@@ -54,15 +71,26 @@ def review(
     settings: Settings,
     wording: Wording = Wording(),
     store: bool = True,
+    folder: str | None = None,
 ) -> Review:
     """All results for all accounts, at the level the settings name.
 
     The ledger is read three times: for the monthly totals, for the counterparties and
     for the lines of abnormal months. With ``store`` the intermediate results that several
     tables start from (scope, monthly totals, corridor, contributing lines, drill-downs) are
-    written to the cluster's shared folder once; without it they are worked out per table.
+    written once, to a new folder under ``folder`` or else under the session's
+    ``spark.checkpoint.dir``. It must be one that all executors share. ``close()`` on the
+    result, or leaving it as a context, removes them. Without ``store`` they are worked out
+    per table, which scans the ledger many times.
     """
-    keep = write_through if store else (lambda df: df)
+    spark = gl.sparkSession
+    work = f"{folder.rstrip('/')}/{uuid.uuid4().hex}" if folder else shared_path(spark)
+    if store and work is None:
+        raise ValueError(
+            "a review stores intermediate tables: name a shared folder, set spark.checkpoint.dir, "
+            "or say store=False to work them out again for each result"
+        )
+    keep = partial(write_through, folder=work) if store else (lambda df: df)
     ledger = ledger_at_level(gl, settings.level)
     balances = comparative_columns(trial_balance_at_level(tb, settings.level))
 
@@ -92,4 +120,5 @@ def review(
         balances=balance_report(monthly, scoped),
         explanations=texts,
         lead=lead_schedule(explain_tiers(scoped), texts, settings),
+        work_folder=work if store else None,
     )

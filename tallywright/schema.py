@@ -5,6 +5,8 @@ Raw input is read as text and cast to these types; nothing is inferred.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,12 +75,17 @@ def _typed(value: Column, kind: T.DataType) -> Column:
     return value.try_cast(kind) if isinstance(kind, T.DecimalType) else value.cast(kind)
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Project ``df`` onto ``schema``: declared order and types, absent columns null."""
+def conform(df: DataFrame, schema: T.StructType, keep: Iterable[str] = ()) -> DataFrame:
+    """Project ``df`` onto ``schema``: declared order and types, absent columns null.
+
+    Columns of ``keep`` that are in the data but not in the schema follow as they are.
+    """
     present = set(df.columns)
+    further = [c for c in dict.fromkeys(keep) if c in present and c not in schema.names]
     return df.select(
         *(
             _typed(F.col(f.name) if f.name in present else F.lit(None), f.dataType).alias(f.name)
             for f in schema.fields
-        )
+        ),
+        *(F.col("`" + c.replace("`", "``") + "`") for c in further),
     )

@@ -37,8 +37,8 @@ def shared_path(spark: SparkSession) -> str | None:
     return f"{folder.rstrip('/')}/tallywright/{uuid.uuid4().hex}" if folder else None
 
 
-def write_through(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it back.
+def write_through(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``df`` to ``folder``, or the cluster's shared checkpoint folder, and read it back.
 
     Cuts lineage at a point several results start from, so that they do not repeat the
     scan behind it, and so that a lost executor costs a re-read instead of a re-run. Spark
@@ -47,16 +47,23 @@ def write_through(df: DataFrame) -> DataFrame:
     slower but gives the same rows.
     """
     spark = df.sparkSession
-    path = shared_path(spark)
+    path = f"{folder}/{uuid.uuid4().hex}" if folder else shared_path(spark)
     if path is None:
         return df
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of stored tables, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def together(*tasks: Callable[[], DataFrame]) -> list[DataFrame]:
     """Results of independent tasks, whose jobs run side by side on the cluster."""
     with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
         # Each thread takes the job group, pool and tags of its caller.
-        futures = [pool.submit(inheritable_thread_target(task)) for task in tasks]
+        inherit = inheritable_thread_target(SparkSession.active())
+        futures = [pool.submit(inherit(task)) for task in tasks]
         return [future.result() for future in futures]

@@ -7,14 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.operators.cleansing import drop_echoed_headers
-from tallywright.operators.mapping import keep_columns, trim_headers
+from tallywright.operators.mapping import column, keep_columns
 
 #: Names of the Korean Windows code page. Java's own ``cp949`` is another table, so all of
 #: them are read as ``x-windows-949`` (fixed values).
@@ -32,15 +34,31 @@ FORMATS = {
 SEPARATORS = {"csv": ",", "tsv": "\t", "txt": "\t"}
 
 
+#: What becomes of lines that do not fit their heading.
+REFUSE, SET_ASIDE = "refuse", "set_aside"
+
+#: Column that holds a line that does not fit, while a file is read.
+BAD_LINE = "_bad_line"
+
+
 @dataclass(frozen=True)
 class TextOptions:
-    """How a delimited file is written. ``quoting=False`` takes quotes as plain characters."""
+    """How a delimited file is written. ``quoting=False`` takes quotes as plain characters.
+
+    A line with more or fewer fields than the heading stops the query, or is set aside with
+    ``bad_lines=SET_ASIDE``; :func:`rejected_lines` gives the lines set aside.
+    """
 
     sep: str = "\t"
     encoding: str = "utf-8"
     quoting: bool = True
     header: bool = True
     multiline: bool = False
+    bad_lines: str = REFUSE
+
+    def __post_init__(self) -> None:
+        if self.bad_lines not in (REFUSE, SET_ASIDE):
+            raise ValueError(f"bad_lines must be {REFUSE!r} or {SET_ASIDE!r}")
 
 
 def charset(name: str) -> str:
@@ -61,6 +79,9 @@ def reader_options(options: TextOptions) -> dict[str, str | bool]:
         "header": options.header,
         "multiLine": options.multiline,
         "mode": "PERMISSIVE",
+        # All fields are parsed whatever is selected later, or misfits would not be noticed.
+        "columnNameOfCorruptRecord": BAD_LINE,
+        "columnPruning": False,
         "quote": '"' if options.quoting else "",
         "escape": '"' if options.quoting else "\\",
         # Check every file's heading against the schema instead of binding by position.
@@ -68,9 +89,58 @@ def reader_options(options: TextOptions) -> dict[str, str | bool]:
     }
 
 
-def _text_reader(spark: SparkSession, options: TextOptions, schema: T.StructType | None = None):
-    reader = spark.read.options(**reader_options(options))
-    return reader.schema(schema) if schema is not None else reader
+def with_bad_line(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(BAD_LINE, T.StringType())])
+
+
+def fitting_lines(df: DataFrame, options: TextOptions) -> DataFrame:
+    """Rows of lines that fit; a line that does not stops the query unless set aside."""
+    # Spark wants another column read beside the bad lines, also for a bare count.
+    fits = F.col(BAD_LINE).isNull() & _read(df)
+    if options.bad_lines == REFUSE:
+        message = F.concat(F.lit("line with too many or too few fields: "), F.col(BAD_LINE))
+        fits = fits | F.raise_error(message).cast("boolean")
+    return df.filter(fits).drop(BAD_LINE)
+
+
+def _read(df: DataFrame) -> Column:
+    """Always true, by way of the first column."""
+    return F.length(F.coalesce(column(df.columns[0]), F.lit(""))) >= 0
+
+
+def _names(schema_names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType()) for name in schema_names])
+
+
+def unique_names(heading: Sequence[str | None]) -> list[str]:
+    """Column names of a heading: a repeated one gets a number, an empty one its place."""
+    seen: dict[str, int] = {}
+    out = []
+    for place, name in enumerate(heading):
+        name = name if name is not None and name.strip() else f"_c{place}"
+        times = seen.get(name, 0)
+        seen[name] = times + 1
+        out.append(f"{name}.{times}" if times else name)
+    return out
+
+
+def _heading(spark: SparkSession, file: str | Sequence[str], options: TextOptions) -> tuple[str | None, ...]:
+    """Fields of the first line as they stand there."""
+    plain = spark.read.options(**reader_options(replace(options, header=False))).csv(file)
+    first = plain.drop(BAD_LINE).first()
+    return tuple(first) if first is not None else ()
+
+
+def _parsed(
+    spark: SparkSession, files: str | Sequence[str], heading: Sequence[str | None], options: TextOptions
+) -> DataFrame:
+    """Lines of files with one heading, bad ones in their own column. Headings are trimmed."""
+    names = unique_names(heading) if options.header else [f"_c{i}" for i in range(len(heading))]
+    # A heading that repeats a name cannot be compared with names that are told apart.
+    as_written = not options.header or list(heading) == names
+    reader = spark.read.options(**reader_options(options)).option("enforceSchema", not as_written)
+    df = reader.schema(with_bad_line(_names(names))).csv(files)
+    return df.toDF(*(name.strip() for name in names), BAD_LINE)
 
 
 def read_text(
@@ -84,7 +154,7 @@ def read_text(
     ``path`` may be a glob. All its files must share the heading; a file that does not is
     an error (``read_text_files`` takes files that differ).
     """
-    df = trim_headers(_text_reader(spark, options).csv(path))
+    df = fitting_lines(_parsed(spark, path, _heading(spark, path, options), options), options)
     return df if columns is None else keep_columns(df, columns)
 
 
@@ -111,28 +181,38 @@ def read_text_files(
     the same heading are then read together, so the plan grows with the number of
     different headings and not with the number of files.
     """
+    frames = [fitting_lines(df, options) for df in _by_heading(spark, paths, options)]
+    united = union_by_name(frames)
+    return united if columns is None else keep_columns(united, columns)
+
+
+def _by_heading(
+    spark: SparkSession, paths: str | Sequence[str], options: TextOptions
+) -> list[DataFrame]:
+    """Parsed lines of each group of files that share their heading."""
     files = list_files(spark, paths) if isinstance(paths, str) else list(paths)
     if not files:
         raise FileNotFoundError(f"no files match {paths!r}")
-
-    def heading(file: str) -> tuple[str, ...]:
-        return tuple(_text_reader(spark, options).csv(file).columns)
-
     with ThreadPoolExecutor(max_workers=16) as pool:
+        heading = inheritable_thread_target(spark)(lambda file: _heading(spark, file, options))
         headings = list(pool.map(heading, files))
-    groups: dict[tuple[str, ...], list[str]] = {}
+    groups: dict[tuple[str | None, ...], list[str]] = {}
     for file, names in zip(files, headings):
         groups.setdefault(names, []).append(file)
+    return [_parsed(spark, group, names, options) for names, group in groups.items() if names]
+
+
+def rejected_lines(
+    spark: SparkSession, paths: str | Sequence[str], options: TextOptions = TextOptions()
+) -> DataFrame:
+    """``file, line`` of all lines that do not fit the heading of their file."""
     frames = [
-        trim_headers(
-            _text_reader(
-                spark, options, T.StructType([T.StructField(n, T.StringType()) for n in names])
-            ).csv(group)
+        df.filter(F.col(BAD_LINE).isNotNull() & _read(df)).select(
+            F.input_file_name().alias("file"), F.col(BAD_LINE).alias("line")
         )
-        for names, group in groups.items()
+        for df in _by_heading(spark, paths, options)
     ]
-    united = union_by_name(frames)
-    return united if columns is None else keep_columns(united, columns)
+    return union_by_name(frames)
 
 
 def read_titled_text(
@@ -143,12 +223,20 @@ def read_titled_text(
 ) -> DataFrame:
     """Delimited files with a title line above the heading.
 
-    The title is dropped as if it were the heading, then the real heading as an echoed
-    one. ``columns`` are the headings in file order.
+    The title is dropped as if it were the heading, and the real heading by its fields, blanks
+    around them aside. ``columns`` are the headings in file order; a file without such a line
+    is an error, which one pass over the files finds out.
     """
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
-    df = _text_reader(spark, options, schema).option("enforceSchema", True).csv(path)
-    return drop_echoed_headers(df, columns[0], columns[0])
+    reader = spark.read.options(**reader_options(options)).option("enforceSchema", True)
+    df = fitting_lines(reader.schema(with_bad_line(_names(columns))).csv(path), options)
+    is_heading = reduce(
+        and_, (F.trim(F.coalesce(column(c), F.lit(""))) == c.strip() for c in columns)
+    )
+    files = df.groupBy(F.input_file_name().alias("file")).agg(F.max(is_heading).alias("has"))
+    without = [row.file for row in files.filter(~F.col("has")).select("file").take(5)]
+    if without:
+        raise ValueError(f"no line with the headings {list(columns)} in {without}")
+    return df.filter(~is_heading)
 
 
 def read_parquet(

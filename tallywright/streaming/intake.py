@@ -9,10 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tallywright.sources.readers import TextOptions, reader_options
+from tallywright.sources.readers import (
+    BAD_LINE,
+    TextOptions,
+    fitting_lines,
+    reader_options,
+    with_bad_line,
+)
 
 
 def append_new_files(
@@ -25,16 +32,47 @@ def append_new_files(
     files_per_chunk: int = 100,
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> StreamingQuery:
-    """Start one run; ``awaitTermination()`` on the result waits for its end."""
-    rows = (
-        spark.readStream.schema(schema)
+    """Start one run; ``awaitTermination()`` on the result waits for its end.
+
+    Lines that do not fit the schema stop the run, or are left to
+    :func:`append_rejected_lines` if the options set them aside.
+    """
+    rows = fitting_lines(_lines(spark, folder, schema, options, files_per_chunk), options)
+    return _append(prepare(rows), target, progress_path)
+
+
+def append_rejected_lines(
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    target: str,
+    progress_path: str,
+    options: TextOptions = TextOptions(),
+    files_per_chunk: int = 100,
+) -> StreamingQuery:
+    """The same for the lines that do not fit, as ``file, line``, with progress of its own."""
+    lines = _lines(spark, folder, schema, options, files_per_chunk)
+    read = F.length(F.coalesce(lines.columns[0], F.lit(""))) >= 0
+    bad = lines.filter(F.col(BAD_LINE).isNotNull() & read).select(
+        F.input_file_name().alias("file"), F.col(BAD_LINE).alias("line")
+    )
+    return _append(bad, target, progress_path)
+
+
+def _lines(
+    spark: SparkSession, folder: str, schema: T.StructType, options: TextOptions, files_per_chunk: int
+) -> DataFrame:
+    return (
+        spark.readStream.schema(with_bad_line(schema))
         .options(**reader_options(options))
         .option("maxFilesPerTrigger", files_per_chunk)
         .csv(folder)
     )
+
+
+def _append(rows: DataFrame, target: str, progress_path: str) -> StreamingQuery:
     return (
-        prepare(rows)
-        .writeStream.format("parquet")
+        rows.writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", progress_path)
         .option("path", target)

@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywright.functions import amounts, dates, ratios
 from tallywright.functions.codes import account_key, canonical_code
@@ -35,7 +36,7 @@ from tallywright.schema import BALANCES, MONEY
 from tallywright.session import shared_path, write_through
 from tallywright.settings import FS_LINE
 from tallywright.sources import readers, writers
-from tallywright.streaming.intake import append_new_files
+from tallywright.streaming.intake import append_new_files, append_rejected_lines
 from tallywright.testbed import commerce
 from tallywright.testbed.commerce import SETTINGS
 from tallywright.testbed.sql import canonical, shape, statement
@@ -88,8 +89,15 @@ def register(name: str, ids: str, spec: str, sql: str) -> Callable[[Run], Run]:
     FROM lineitem GROUP BY l_returnflag""",
 )
 def _(spark, sf):
+    # Two files whose columns differ, behind one glob.
+    folder, lines = _folder(spark), commerce.table(spark, sf, "lineitem")
+    returned = F.col("l_returnflag") == "R"
+    lines.filter(returned).select("l_quantity", "l_returnflag").write.parquet(f"{folder}/a.parquet")
+    lines.filter(~returned).select("l_returnflag", "l_linestatus", "l_quantity").write.parquet(
+        f"{folder}/b.parquet"
+    )
     df = readers.read_parquet(
-        spark, f"{sf}/lineite[m].parquet", ["l_returnflag", "l_quantity"], merge_schema=True
+        spark, f"{folder}/*.parquet", ["l_returnflag", "l_quantity"], merge_schema=True
     )
     return df.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast(MONEY)).alias("quantity")
@@ -144,7 +152,13 @@ def _(spark, sf):
 @register("format_by_ending", "S14", "c_custkey:i c_name c_mktsegment",
           "SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def _(spark, sf):
-    return readers.read_extract(spark, f"{sf}/customer.parquet")
+    # Half of the customers as a table, half as text.
+    customers = readers.read_extract(spark, f"{sf}/customer.parquet").select(
+        "c_custkey", "c_name", "c_mktsegment"
+    )
+    folder = f"{_folder(spark)}.csv"
+    writers.write_text(customers.filter("c_custkey % 2 = 1"), folder, sep=",")
+    return customers.filter("c_custkey % 2 = 0").unionByName(readers.read_extract(spark, folder))
 
 
 # ---------------------------------------------------------------- files
@@ -192,6 +206,75 @@ def _(spark, sf):
     return readers.read_parquet(spark, target)
 
 
+BAD_ORDERS = """SELECT o_orderkey % 10 < 2 AS bad, o_orderkey || '|' || o_orderpriority ||
+    CASE o_orderkey % 10 WHEN 0 THEN '|' || o_orderstatus || '|more' WHEN 1 THEN ''
+    ELSE '|' || o_orderstatus END AS line FROM orders"""
+
+
+@register(
+    "rejected_lines", "S1 S2 S7 S11", "way part line",
+    f"""SELECT way, CASE WHEN bad THEN 'rejected' ELSE 'accepted' END AS part, line
+    FROM ({BAD_ORDERS}) CROSS JOIN (VALUES ('batch'), ('intake')) AS w(way)""",
+)
+def _(spark, sf):
+    # Lines with a separator too many or too few, written as they are.
+    key, rest = F.col("o_orderkey"), F.concat(F.lit("|"), F.col("o_orderstatus"))
+    tail = F.when(key % 10 == 0, F.concat(rest, F.lit("|more"))).when(key % 10 == 1, "").otherwise(rest)
+    names = ["o_orderkey", "o_orderpriority", "note"]
+    line = F.concat(key.cast("string"), F.lit("|"), F.col("o_orderpriority"), tail)
+    folder, kept, bad = _folder(spark), _folder(spark), _folder(spark)
+    (
+        commerce.table(spark, sf, "orders")
+        .select(line.alias("|".join(names)))
+        .write.option("header", True).option("sep", "\u0001").option("quote", "").csv(folder)
+    )
+    options = readers.TextOptions(sep="|", quoting=False, bad_lines=readers.SET_ASIDE)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    for run, target in ((append_new_files, kept), (append_rejected_lines, bad)):
+        run(spark, folder, schema, target, _folder(spark), options).awaitTermination()
+
+    def part(df, way, name):
+        text = F.concat_ws("|", *names) if name == "accepted" else F.col("line")
+        return df.select(F.lit(way).alias("way"), F.lit(name).alias("part"), text.alias("line"))
+
+    files = f"{folder}/*.csv"
+    return readers.union_by_name(
+        [
+            part(readers.read_text_files(spark, files, options), "batch", "accepted"),
+            part(readers.rejected_lines(spark, files, options), "batch", "rejected"),
+            part(readers.read_parquet(spark, kept), "intake", "accepted"),
+            part(readers.read_parquet(spark, bad), "intake", "rejected"),
+        ]
+    )
+
+
+@register(
+    "titled_text", "S10", "code:i priority",
+    "SELECT o_orderkey AS code, o_orderpriority AS priority FROM orders",
+)
+def _(spark, sf):
+    # Each file: a title, a heading with blanks around its names, then lines.
+    folder, orders = _folder(spark), commerce.table(spark, sf, "orders")
+    lines = orders.select(
+        F.struct(F.pmod("o_orderkey", F.lit(4)).alias("file"), F.lit(1).alias("place")).alias("at"),
+        F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("title"),
+    )
+    headings = spark.range(4).select(
+        F.struct(F.col("id").alias("file"), F.lit(0).alias("place")).alias("at"),
+        F.lit(" code | priority").alias("title"),
+    )
+    (
+        lines.unionByName(headings)
+        .repartition(4, "at.file")
+        .sortWithinPartitions("at.file", "at.place")
+        .select("at.file", F.col("title").alias("Orders of all years"))
+        .write.partitionBy("file").option("header", True).option("sep", "\u0001")
+        .option("quote", "").csv(folder)
+    )
+    options = readers.TextOptions(sep="|", quoting=False)
+    return readers.read_titled_text(spark, f"{folder}/file=*/*.csv", ["code", "priority"], options)
+
+
 @register(
     "unquoted_text", "S2", "c_custkey:i c_name",
     """SELECT c_custkey, '"' || c_name AS c_name FROM customer""",
@@ -1060,6 +1143,10 @@ def _erp_step(mapped: DataFrame) -> DataFrame:
       LEFT JOIN account_map m ON c.account_code = m.detail_code)""",
 )
 def _(spark, sf):
+    return _prepared(spark, sf).rows
+
+
+def _prepared(spark, sf):
     rules = prepare.LedgerRules(
         date_pattern="yyyyMMdd",
         flags={cleansing.STAMP_YEAR, cleansing.SPLIT_AMOUNT, cleansing.NAME_FROM_MAP},
@@ -1068,7 +1155,31 @@ def _(spark, sf):
     )
     return prepare.prepare_ledger(
         commerce.raw_extract(spark, sf), RAW_MAP, commerce.account_map(spark, sf), rules
-    ).rows
+    )
+
+
+@register(
+    "prepared_checks", "U1 A1 A10 J3",
+    "line_count:i defaulted_dates:i unreadable_amounts:i changed_amounts:i control_total:d unmapped:i",
+    f"""SELECT count(*) AS line_count,
+      count(*) FILTER (try_strptime(BUDAT, '%Y%m%d') IS NULL) AS defaulted_dates,
+      0 AS unreadable_amounts, 0 AS changed_amounts,
+      sum(coalesce(CASE WHEN coalesce(SHKZG, 'S') = 'S' THEN a ELSE -a END, 0)) AS control_total,
+      (SELECT count(*) FROM (SELECT DISTINCT r.code FROM
+         (SELECT {canonical('HKONT')} AS code FROM raw WHERE BUDAT IS DISTINCT FROM 'BUDAT') r
+         LEFT JOIN account_map m ON r.code = m.detail_code WHERE m.fs_name IS NULL)) AS unmapped
+    FROM (SELECT *, CASE WHEN t = '-' THEN 0
+            WHEN length(t) > 1 AND t LIKE '%-' THEN TRY_CAST('-' || replace(t, '-', '') AS DECIMAL(18,2))
+            ELSE TRY_CAST(t AS DECIMAL(18,2)) END AS a
+          FROM (SELECT *, {_ERP} AS t FROM raw WHERE BUDAT IS DISTINCT FROM 'BUDAT'))""",
+)
+def _(spark, sf):
+    # The ledger is written once; its counts come with that job, the rest from the written table.
+    prepared, folder = _prepared(spark, sf), _folder(spark)
+    writers.write_ledger(prepared.rows, folder)
+    unmapped = prepare.unmapped_in(readers.read_parquet(spark, folder))
+    seen = {name: F.lit(value).alias(name) for name, value in prepared.seen.get.items()}
+    return unmapped.agg(F.count(F.lit(1)).alias("unmapped")).select(*seen.values(), "unmapped")
 
 
 @register(

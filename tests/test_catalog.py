@@ -20,7 +20,7 @@ DATA = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="test tables are not here")
 
-#: Inventory rows with a query. S10 (a title line in each file) and S12 (a database) have none.
+#: Inventory rows with a query. S12 (a database) has none.
 INVENTORY = (
     [f"P{i}" for i in range(1, 7)]
     + [f"C{i}" for i in range(1, 20)]
@@ -29,7 +29,7 @@ INVENTORY = (
     + [f"W{i}" for i in range(1, 9)]
     + [f"V{i}" for i in range(1, 15)]
     + ["O1", "O2", "O3", "U1"]
-    + [f"S{i}" for i in range(1, 15) if i not in (10, 12)]
+    + [f"S{i}" for i in range(1, 15) if i != 12]
 )
 
 
@@ -38,19 +38,23 @@ def con():
     return database(DATA)
 
 
+#: Queries that find nothing in the smallest tables.
+EMPTY_HERE: set[str] = set()
+
+
 @pytest.mark.parametrize("name", sorted(CATALOG))
 def test_query_equals_sql_without_cross_joins_or_python(spark, con, name):
     df = entries.queries()[name](spark, DATA)
     for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "InPandas"):
         assert unwanted not in plan(df)
     problem = compare(df, con, name)
-    assert problem in ("", "no rows"), problem
+    assert problem == ("no rows" if name in EMPTY_HERE else ""), problem
 
 
 def test_every_inventory_row_has_a_query():
     covered = {i for query in CATALOG.values() for i in query.ids}
     assert covered == set(INVENTORY)
-    assert set(entries.queries()) == set(entries.oracle_sql())
+    assert set(CATALOG) <= set(entries.queries()) and set(CATALOG) <= set(entries.oracle_sql())
 
 
 def test_entry(spark):

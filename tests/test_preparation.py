@@ -162,7 +162,9 @@ def test_prepare_ledger(spark, account_map):
             client_step=client_step,
         ),
     )
-    assert seen and prepared.rows.dtypes == spark.createDataFrame([], LEDGER).dtypes
+    declared = spark.createDataFrame([], LEDGER).dtypes
+    assert seen and prepared.rows.dtypes[: len(declared)] == declared
+    assert "date_defaulted" in prepared.rows.columns
     assert records(
         prepared.rows, "account_key", "fiscal_month", "counterparty", "amount", "debit", "credit"
     ) == [
@@ -171,7 +173,9 @@ def test_prepare_ledger(spark, account_map):
         ("999_", 3, "V2", None, 0.0, 0.0),
     ]
     assert records(prepared.unmapped) == [("999",)]
-    assert records(prepared.defects) == [(3, 1, 1)]
+    assert records(prepared.defects) == [(3, 1, 1, 0, 6.0)]
+    prepared.rows.collect()
+    assert prepared.seen.get["line_count"] == 3 and prepared.seen.get["defaulted_dates"] == 1
     both = join_years(prepared.rows, prepared.rows)
     assert both.count() == 6
 
