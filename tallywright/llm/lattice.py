@@ -41,6 +41,8 @@ PRIOR = 0.05
 #: Words of a task that are counted or scored at a time, which bounds its memory.
 HELD_WORDS = 300_000
 CACHE_WORDS = 400_000
+#: Words whose lattices are worked out together; many words of one length share the steps.
+WORDS_AT_ONCE = 60_000
 
 #: What separates words, and the letters that are made small.
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -211,13 +213,17 @@ def fit(counts: DataFrame, path: str, rounds: int = EM_ROUNDS) -> np.ndarray:
 
     def round_of(scores: np.ndarray):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, uses = lattice(path), None
+            model, held = lattice(path), []
+            uses = np.zeros(len(model.pieces))
             for batch in batches:
                 words = [w for w in batch.column(0).to_pylist() if w]
-                found = model.expected(words, scores)
-                found[0] += batch.num_rows - len(words)
-                uses = found if uses is None else uses + found
-            if uses is not None:
+                uses[0] += batch.num_rows - len(words)
+                held += words
+                if len(held) > WORDS_AT_ONCE:
+                    uses += model.expected(held, scores)
+                    held = []
+            uses += model.expected(held, scores)
+            if uses.any():
                 used = np.flatnonzero(uses)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(used, pa.int32()), pa.array(uses[used], pa.float64())], names=["piece", "uses"]
@@ -300,7 +306,8 @@ def score(documents: DataFrame, vocabulary: str, learn: Column | None = None) ->
     tokens = smoothing.tokens
     scores = fit(counts, vocabulary, EM_ROUNDS if tokens else 0)
     floor = max(1, -(-tokens // HOT_WORDS))
-    hot = {bytes(r["word"]): r["c"] for r in counts.where(F.col("c") >= floor).collect()} if tokens else {}
+    is_hot = (F.col("c") >= floor) | (F.octet_length("word") == 0)
+    hot = {bytes(r["word"]): r["c"] for r in counts.where(is_hot).collect()} if tokens else {}
     send = spark.sparkContext.broadcast((hot, scores))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +352,7 @@ def score(documents: DataFrame, vocabulary: str, learn: Column | None = None) ->
         "row long, word binary, n int, doc_id long, held_out boolean, n_tokens long, "
         "n_known long, base double, score double",
     )
-    joined = parts.join(counts.where(F.col("c") < floor), "word", "left")
+    joined = parts.join(counts.where(~is_hot), "word", "left")
     n, c, lattice_score = F.col("n").cast("double"), F.col("c"), F.col("score")
     counted = F.coalesce(c, F.lit(0))
     own = F.col("n_tokens").isNotNull()
