@@ -11,8 +11,8 @@ point is later than all registers of its document.
 
 Registers are banded. Bands are chosen so that a pair at the threshold is missed with a
 probability under 1e-9. Documents of equal words are one text. In a bucket every text meets the
-first one; in small buckets all meet all; in larger ones, texts that are still not connected to
-the first meet further pivots. Pairs whose registers agree too rarely for the threshold are left
+most central one; in small buckets all meet all; in larger ones, texts that are still not
+connected to that one meet further pivots. Pairs whose registers agree too rarely for the threshold are left
 out, and all others are verified by the exact overlap of their multisets.
 """
 
@@ -240,10 +240,23 @@ def verified(pairs: DataFrame, texts: DataFrame, share: float = SHARE) -> DataFr
     return both.select("a", "b", "of_a", "of_b").mapInArrow(work, "a long, b long")
 
 
+def with_pivots(members: DataFrame) -> DataFrame:
+    """Add how central each text is, and the most central text of each bucket as its pivot.
+
+    A text is as central as its buckets are large: the original of a group of near copies
+    shares more of its bands with them than they share with each other.
+    """
+    weight = members.groupBy("row").agg(F.sum("n").alias("weight"))
+    weighed = members.join(weight, "row")
+    best = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("row")).alias("row"))).alias("best"))
+    pivots = best.select("key", (-F.col("best.row")).alias("pivot"))
+    return weighed.join(pivots, "key")
+
+
 def first_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of every text with the first of its buckets, and all pairs of small buckets."""
+    """Pairs of every text with the pivot of its buckets, and all pairs of small buckets."""
     star = members.where(F.col("row") != F.col("pivot")).select(
-        F.col("pivot").alias("a"), F.col("row").alias("b")
+        F.least("pivot", "row").alias("a"), F.greatest("pivot", "row").alias("b")
     )
     small = (
         members.where((F.col("n") > 2) & (F.col("n") <= SMALL))
@@ -267,11 +280,19 @@ def further_pairs(members: DataFrame, labels: DataFrame, tried: DataFrame) -> Da
         labels.withColumnRenamed("node", "row"), "row", "left"
     ).withColumn("label", F.coalesce("label", "row"))
     left = named.join(tried, ["key", "label"], "left_anti")
-    pivot = left.groupBy("key").agg(F.min(F.struct("row", "label")).alias("p"))
+    most = F.max(F.struct("weight", (-F.col("row")).alias("row"), "label"))
+    pivot = left.groupBy("key").agg(most.alias("p"))
+    pivot = pivot.select("key", (-F.col("p.row")).alias("pivot"), F.col("p.label").alias("tried"))
     return (
-        named.join(pivot, "key")
-        .where(F.col("label") != F.col("p.label"))
-        .select("key", F.col("p.row").alias("a"), F.col("row").alias("b"), F.col("p.label").alias("label"))
+        named.drop("pivot")
+        .join(pivot, "key")
+        .where(F.col("label") != F.col("tried"))
+        .select(
+            "key",
+            F.least("pivot", "row").alias("a"),
+            F.greatest("pivot", "row").alias("b"),
+            F.col("tried").alias("label"),
+        )
     )
 
 
@@ -291,10 +312,9 @@ def classes(documents: DataFrame, share: float = SHARE) -> DataFrame:
         rows.join(copies.select(F.col("text").alias("row")), "row").select("row", "signature", "bands"), "firsts"
     )
     keys = firsts.select("row", F.posexplode("bands").alias("band", "key"))
-    buckets = (
-        keys.groupBy("key").agg(F.min("row").alias("pivot"), F.count("*").alias("n")).where(F.col("n") > 1)
-    )
-    members = stored(keys.join(buckets, "key"), "members")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    members = with_pivots(stored(keys.join(buckets, "key"), "shared-keys"))
+    members = stored(members, "members")
     pairs = stored(first_pairs(members), "pairs")
     near = stored(agreeing(pairs, firsts), "near")
 
