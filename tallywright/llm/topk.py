@@ -73,8 +73,10 @@ class Scorer:
 
 def _bin(scores: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Bin of each score; -1 below the query's range and ``BINS`` above it."""
-    offset = scores - low
-    return np.where(offset < 0, -1, np.minimum(offset // width, BINS))
+    # Differences of 64-bit numbers fit unsigned ones.
+    offset = scores.astype(np.uint64) - low.astype(np.uint64)
+    bins = np.minimum(offset // width.astype(np.uint64), np.uint64(BINS)).astype(np.int64)
+    return np.where(scores < low, -1, bins)
 
 
 def histogram(vectors: DataFrame, scorer: Scorer, low: np.ndarray, width: np.ndarray, k: int) -> DataFrame:
@@ -121,11 +123,16 @@ def winners(vectors: DataFrame, scorer: Scorer, kth: np.ndarray, k: int) -> Data
                 kept = best(kept, k)
         query, score, ids = best(kept, k)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(scorer.ids[query], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.int64())],
-            names=["query_id", "vec_id", "score"],
+            [
+                pa.array(query, pa.int32()),
+                pa.array(scorer.ids[query], pa.int64()),
+                pa.array(ids, pa.int64()),
+                pa.array(score, pa.int64()),
+            ],
+            names=["query", "query_id", "vec_id", "score"],
         )
 
-    return vectors.mapInArrow(work, "query_id long, vec_id long, score long")
+    return vectors.mapInArrow(work, "query int, query_id long, vec_id long, score long")
 
 
 def best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
@@ -145,7 +152,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Both frames are ``vec_id, v`` as :func:`integer_vectors` gives them. Ties go to the smaller
     ``vec_id``. Rows of the query's own id are not its candidates, rows without an id are
     nobody's, and vectors meet only queries of their own length. Repeated query rows are one
-    query. Scores beyond 64 bits count as the nearest 64-bit number. No rows give no rows.
+    query; rows of one id but other vectors are queries of their own. Scores beyond 64 bits count as the nearest 64-bit number. No rows give no rows.
 
     Queries are taken in blocks of :data:`QUERY_BLOCK`, each sent to the tasks that score.
     """
@@ -181,8 +188,8 @@ def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame | None:
     if norm is None:
         return None
     reach = np.sqrt((scorer.queries.astype(np.float64) ** 2).sum(axis=1)) * norm
-    most = np.array([min(2**62 - 1, int(r * (1 + 1e-9)) + 1) for r in reach], np.int64)
-    low, width = -most, -(-2 * most // BINS) + 1
+    most = np.array([min(2**63 - 1, int(r * (1 + 1e-9)) + 1) for r in reach], np.int64)
+    low, width = -most, most // (BINS // 2) + 1
     kth = np.full(len(rows), -(2**63), np.int64)
     while True:
         state = kth_bins(histogram(vectors, scorer, low, width, k), k).collect()
@@ -196,6 +203,6 @@ def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame | None:
             kth[at] = low[at]
             break
         width = np.maximum(1, -(-width // BINS))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = winners(vectors, scorer, kth, k).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
