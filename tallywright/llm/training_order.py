@@ -27,6 +27,7 @@ from tallywright.llm.tokens import stretch_ids
 LENGTH = 2048
 END_ID = 1
 ROUNDS = 8
+SENT_PARTS = 1_000_000
 
 
 class Feistel:
@@ -103,10 +104,15 @@ def sequences(documents: DataFrame, tokenizer: str, length: int = LENGTH, end_id
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Add ``number``: dense over all rows, by part and place. Only counts of parts are ordered."""
-    parts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    """Add ``number``: dense over all rows, by part and place. Only counts of parts are ordered.
+
+    A part is a task that tokenised, so there is one start per task. Up to ``SENT_PARTS`` of them
+    go to every task, which spares shuffling the sequences for it.
+    """
+    parts = stored(rows.groupBy("part").agg(F.count("*").alias("n")), "parts")
     before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
     starts = parts.select("part", before.alias("before"))
+    starts = F.broadcast(starts) if parts.count() <= SENT_PARTS else starts
     return rows.join(starts, "part").withColumn("number", F.col("before") + F.col("place")).drop("before")
 
 
