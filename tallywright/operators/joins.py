@@ -40,27 +40,28 @@ def repeated_map_codes(account_map: DataFrame) -> DataFrame:
     """Codes that a map has more than once in one spelling: rows, and different contents."""
     extra = [c for c in MAP_COLUMNS if c != "detail_code" and c in account_map.columns]
     return (
-        account_map.groupBy(canonical_code(F.col("detail_code")).alias("detail_code"))
+        account_map.filter(F.col("detail_code").isNotNull())
+        .groupBy(canonical_code(F.col("detail_code")).alias("detail_code"))
         .agg(
             F.count(F.lit(1)).alias("row_count"),
             F.size(F.collect_set(F.struct(*extra))).alias("variants"),
         )
-        .filter(F.col("detail_code").isNotNull() & (F.col("row_count") > 1))
+        .filter(F.col("row_count") > 1)
     )
 
 
 def unique_accounts(account_map: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per account code of a map, in its canonical spelling.
 
-    Exact copies count once. A code whose rows differ fails the query by name, as it would
+    Rows without a code are no accounts. Exact copies count once. A code whose rows differ fails the query by name, as it would
     multiply ledger lines (:func:`repeated_map_codes` lists such codes).
     """
     content = F.struct(*columns)
     code = canonical_code(F.col("detail_code")).alias("detail_code")
     found = (
-        account_map.groupBy(code)
+        account_map.filter(F.col("detail_code").isNotNull())
+        .groupBy(code)
         .agg(F.min(content).alias("low"), F.max(content).alias("high"))
-        .filter(F.col("detail_code").isNotNull())
     )
     refused = F.raise_error(F.concat(F.lit("the account map has different rows for "), "detail_code"))
     checked = F.when(F.col("low").eqNullSafe(F.col("high")), F.col("low")).otherwise(

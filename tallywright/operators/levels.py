@@ -33,13 +33,13 @@ UNMAPPED_CODE, UNMAPPED_NAME = "UNMAPPED", "not mapped to a line"
 def _named_lines(df: DataFrame) -> DataFrame:
     """Give accounts without a line the one named line, which has no class."""
     mapped = F.col("fs_code").isNotNull() & F.col("fs_name").isNotNull()
-    return df.withColumns(
-        {
-            "fs_code": F.when(mapped, F.col("fs_code")).otherwise(UNMAPPED_CODE),
-            "fs_name": F.when(mapped, F.col("fs_name")).otherwise(UNMAPPED_NAME),
-            "bs_pl": F.when(mapped, F.col("bs_pl")),
-        }
-    )
+    lines = {
+        "fs_code": F.when(mapped, F.col("fs_code")).otherwise(UNMAPPED_CODE),
+        "fs_name": F.when(mapped, F.col("fs_name")).otherwise(UNMAPPED_NAME),
+    }
+    if "bs_pl" in df.columns:
+        lines["bs_pl"] = F.when(mapped, F.col("bs_pl"))
+    return df.withColumns(lines)
 
 
 def _key_by_line(df: DataFrame) -> DataFrame:

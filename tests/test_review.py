@@ -155,5 +155,24 @@ def test_nothing_in_scope_gives_empty_tables(spark, tmp_path):
     assert result.lead.filter("explanation IS NOT NULL").count() == 0
     result.write(str(tmp_path / "out"))
     for field in fields(Review):
+        if field.name == "work_folder":
+            continue
         stored = spark.read.parquet(str(tmp_path / "out" / field.name))
         assert stored.columns == getattr(result, field.name).columns
+
+
+def test_a_review_keeps_its_tables_in_a_folder_and_removes_them(spark, tmp_path):
+    _, gl, tb = books(spark)
+    with review(gl, tb, SETTINGS, folder=str(tmp_path)) as result:
+        assert len(list(tmp_path.iterdir())) == 1 and result.lead.count()
+    assert list(tmp_path.iterdir()) == []
+    assert review(gl, tb, SETTINGS, store=False).work_folder is None
+
+
+def test_a_review_without_a_folder_says_so(spark, monkeypatch):
+    from tallywright.plans import review as plans
+
+    _, gl, tb = books(spark)
+    monkeypatch.setattr(plans, "shared_path", lambda spark: None)
+    with pytest.raises(ValueError, match="shared folder"):
+        plans.review(gl, tb, SETTINGS)

@@ -189,6 +189,11 @@ def test_database_options_come_from_the_caller(monkeypatch):
     class Frame:
         write = Writer()
 
+        def repartition(self, tasks):
+            # Rows are dealt to the connections by a shuffle, so that what comes before keeps its tasks.
+            assert tasks == 3
+            return self
+
     writers.append_jdbc(Frame(), "jdbc:x", "gl", {"user": "u", "password": "p"}, 500, 3)
     assert Frame.write.asked == {
         "format": "jdbc", "mode": "append", "user": "u", "password": "p", "url": "jdbc:x",
