@@ -63,7 +63,7 @@ def strict_amount(value: Column) -> Column:
     So does a number with more digits than an amount has.
     """
     parsed = F.btrim(_without(value, ","), F.lit(BLANKS)).try_cast(WIDE)
-    refused = F.raise_error(F.concat(F.lit("not an amount: "), value)).cast(MONEY)
+    refused = F.raise_error(F.concat(F.lit("not a number of at most two decimals: "), value)).cast(MONEY)
     exact = F.when(~changed_by_settling(parsed), settled(parsed))
     return F.coalesce(exact, F.when(value.isNotNull(), refused))
 

@@ -67,7 +67,10 @@ def unique_accounts(account_map: DataFrame, columns: Sequence[str]) -> DataFrame
     checked = F.when(F.col("low").eqNullSafe(F.col("high")), F.col("low")).otherwise(
         refused.cast(found.schema["low"].dataType)
     )
-    return found.select("detail_code", checked.alias("row")).select(
+    # A code that Spark does not know as the grouped one: the account-sized map is then shuffled
+    # for the join by itself, which lets Spark split hot accounts on the other side.
+    anew = F.concat("detail_code", F.lit("")).alias("detail_code")
+    return found.select(anew, checked.alias("row")).select(
         "detail_code", *(F.col("row").getField(c).alias(c) for c in columns)
     )
 
