@@ -54,9 +54,10 @@ class Feistel:
 
 
 def sequences(documents: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """``part, place, doc_ids, n_tokens, ids`` of the joined token streams of all tasks.
+    """``part, place, doc_ids, n_tokens, packed`` of the joined token streams of all tasks.
 
-    ``ids`` are little-endian and take 16 bits if the vocabulary allows. The last sequence of a
+    ``packed`` are the compressed ids, little-endian, of 16 bits if the vocabulary allows. They
+    stay compressed until a shard is written. The last sequence of a
     task may be shorter. Null texts are empty; each document ends with ``end_id``.
     """
 
@@ -76,9 +77,9 @@ def sequences(documents: DataFrame, tokenizer: str, length: int = LENGTH, end_id
                     pa.array(range(first, place), pa.int64()),
                     pa.array([list(dict.fromkeys(o)) for o, _ in pieces], pa.list_(pa.int64())),
                     pa.array([len(b) // np.dtype(kind).itemsize for _, b in pieces], pa.int64()),
-                    pa.array([b for _, b in pieces], pa.binary()),
+                    pa.array([pa.compress(b, codec="zstd", asbytes=True) for _, b in pieces], pa.binary()),
                 ],
-                names=["part", "place", "doc_ids", "n_tokens", "ids"],
+                names=["part", "place", "doc_ids", "n_tokens", "packed"],
             )
 
         for batch in batches:
@@ -99,7 +100,7 @@ def sequences(documents: DataFrame, tokenizer: str, length: int = LENGTH, end_id
             yield rows([(owners, held)])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        work, "part long, place long, doc_ids array<long>, n_tokens long, ids binary"
+        work, "part long, place long, doc_ids array<long>, n_tokens long, packed binary"
     )
 
 
@@ -128,19 +129,25 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def write_shards(rows: DataFrame, folder: str, shard_rows: int, stride: int) -> DataFrame:
+def store_address(folder: str) -> str:
+    """The folder with the scheme of its store; a plain path is on a shared local one."""
+    if folder.startswith(("/", "file:")):
+        return f"file:///{folder.removeprefix('file:').lstrip('/')}"
+    return folder
+
+
+def write_shards(rows: DataFrame, folder: str, shard_rows: int, stride: int, width: int) -> DataFrame:
     """Write one file per shard; ``slot, shard, byte_offset, doc_ids, n_tokens, crc32`` of each row.
 
-    A shard is written under a name of the task attempt and then moved to its own, so a task
+    ``stride`` and ``width`` are the bytes of a record and of an id. A shard is written under a name of the task attempt and then moved to its own, so a task
     that runs again, or twice at a time, leaves the same whole file.
     """
-    from_uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    from_uri = from_uri.replace("file:/", "file:///", 1) if from_uri.startswith("file:/") and not from_uri.startswith("file://") else from_uri
+    address = store_address(folder)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, path = fs.FileSystem.from_uri(from_uri)
+        store, path = fs.FileSystem.from_uri(address)
         store.create_dir(path, recursive=True)
         context = TaskContext.get()
         attempt = f"{context.stageId()}-{context.taskAttemptId()}"
@@ -152,9 +159,10 @@ def write_shards(rows: DataFrame, folder: str, shard_rows: int, stride: int) ->
                 store.move(f"{path}/.{shard_name(shard)}.{attempt}", f"{path}/{shard_name(shard)}")
 
         for batch in batches:
-            slots, ids = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            slots, sizes, packed = (batch.column(i).to_pylist() for i in (0, 2, 3))
             sums = []
-            for slot, record in zip(slots, ids):
+            for slot, size, data in zip(slots, sizes, packed):
+                record = pa.decompress(data, decompressed_size=size * width, codec="zstd", asbytes=True)
                 if slot // shard_rows != shard:
                     close()
                     shard = slot // shard_rows
@@ -175,7 +183,7 @@ def write_shards(rows: DataFrame, folder: str, shard_rows: int, stride: int) ->
             )
         close()
 
-    return rows.select("slot", "doc_ids", "n_tokens", "ids").mapInArrow(
+    return rows.select("slot", "doc_ids", "n_tokens", "packed").mapInArrow(
         work, "slot long, shard long, byte_offset long, doc_ids array<long>, n_tokens long, crc32 long"
     )
 
@@ -199,14 +207,14 @@ def materialise(
         )
     from tallywright.llm.tokens import library
 
-    stride = length * (2 if library(tokenizer).get_vocab_size() <= 1 << 16 else 4)
+    width = 2 if library(tokenizer).get_vocab_size() <= 1 << 16 else 4
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shard_rows = -(-total // partitions)
     placed = with_slots(numbered(rows), total, key).withColumn(
         "shard", F.floor(F.col("slot") / shard_rows).cast("long")
     )
     dealt = placed.repartitionByRange(partitions, "shard").sortWithinPartitions("slot")
-    return write_shards(dealt, folder or new_folder(spark, "shards"), shard_rows, stride)
+    return write_shards(dealt, folder or new_folder(spark, "shards"), shard_rows, length * width, width)
 
 
 def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, bits: int = 16) -> DataFrame:
