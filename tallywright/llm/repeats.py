@@ -36,11 +36,11 @@ from tallywright.llm.common import binary_texts, mixed, ready, stored, with_row_
 
 MATCH, GRAM = 50, 24
 #: Runs or string bytes that a task holds before it sends them.
-HELD_RUNS, HELD_BYTES = 1_500_000, 24_000_000
+HELD_RUNS, HELD_BYTES = 800_000, 12_000_000
 #: Text bytes per bucket. Buckets grow in number with the corpus, not in size.
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 8_000_000
 #: Documents with one key from which it is hot, and the most keys that can be hot.
-HOT_DOCUMENTS, HOT_KEYS = 10_000, 100_000
+HOT_DOCUMENTS, HOT_KEYS = 4_000, 100_000
 _KEY_BITS = np.uint64(40)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -413,6 +413,9 @@ def covered_ranges(sent: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part[:, j], pa.int64()) for j in range(3)], names=["row", "first", "last"]
                 )
+            # Later tasks of this Python process may need little; what is free goes back.
+            del spans, out, given, held
+            pa.default_memory_pool().release_unused()
 
     dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(work, "row long, first long, last long")
