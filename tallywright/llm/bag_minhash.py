@@ -11,9 +11,10 @@ point is later than all registers of its document.
 
 Registers are banded. Bands are chosen so that a pair at the threshold is missed with a
 probability under 1e-9. Documents of equal words are one text. In a bucket every text meets the
-most central one; in small buckets all meet all; in larger ones, texts that are still not
-connected to that one meet further pivots. Pairs whose registers agree too rarely for the threshold are left
-out, and all others are verified by the exact overlap of their multisets.
+most central one, and in small buckets all meet all. In larger ones a few further pivots connect
+what is in large groups, and then all texts that are not connected meet each other by blocks of
+signatures. Pairs whose registers agree too rarely for the threshold are left out, and all
+others are verified by the exact overlap of their multisets.
 """
 
 from __future__ import annotations
@@ -37,8 +38,12 @@ ROWS, BANDS = 3, 32
 REGISTERS = ROWS * BANDS
 #: Buckets up to this size are compared all with all.
 SMALL = 8
-#: Further pivots of larger buckets.
+#: Further pivots of larger buckets, before their texts meet all with all.
 PIVOTS = 4
+#: Texts in a block of a larger bucket.
+BLOCK = 1024
+#: Pairs of texts up to which all are verified at once, and the shares of more in each wave.
+ONE_WAVE, WAVES = 100_000, (64, 8, 1)
 #: Register agreement below which a pair is not verified: four deviations under the threshold.
 AGREEMENT = 0.62
 
@@ -296,6 +301,101 @@ def further_pairs(members: DataFrame, labels: DataFrame, tried: DataFrame) -> Da
     )
 
 
+def blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, low, high, block, band, row, label``: larger buckets in pairs of blocks.
+
+    Only buckets whose texts are not all connected, and in these only pairs of blocks that can
+    hold texts of two components: the largest component has blocks of its own (from ``few`` on),
+    which do not meet each other.
+    """
+    named = members.where(F.col("n") > SMALL).select("key", "band", "row").join(
+        labels.withColumnRenamed("node", "row"), "row", "left"
+    ).withColumn("label", F.coalesce("label", "row"))
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
+    split = (
+        sizes.groupBy("key")
+        .agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("all"))
+        .where(F.col("all") > F.col("most.size"))
+        .select(
+            "key",
+            F.col("most.label").alias("main"),
+            F.ceil((F.col("all") - F.col("most.size")) / BLOCK).alias("few"),
+            F.ceil(F.col("most.size") / BLOCK).alias("many"),
+        )
+    )
+    place, main = F.xxhash64("row"), F.col("label") == F.col("main")
+    dealt = named.join(split, "key").withColumn(
+        "block", F.when(main, F.col("few") + F.pmod(place, F.col("many"))).otherwise(F.pmod(place, F.col("few")))
+    )
+    last = F.when(main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return met.select(
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "block", "band", "row", "label",
+    )
+
+
+def agreements(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many registers agree, of each left with each right signature."""
+    out = np.zeros((len(left), len(right)), np.uint8)
+    for one, two in zip(np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)):
+        out += one[:, None] == two[None, :]
+    return out
+
+
+def unconnected_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs ``a, b`` of larger buckets that are not connected and agree often enough.
+
+    A pair is given in its first shared band only. Where that is a small bucket, it has been
+    compared there.
+    """
+
+    def pairs(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        low, high, block, band, row, label = (np.array(x, np.int64) for x in list(zip(*group))[1:7])
+        signs = np.frombuffer(b"".join(x[7] for x in group), "<u2").reshape(-1, REGISTERS)
+        left = np.flatnonzero(block == low)
+        right = np.flatnonzero(block == high)
+        for i in range(0, len(left), 256):
+            part = left[i : i + 256]
+            near = agreements(signs[part], signs[right]) >= AGREEMENT * REGISTERS
+            near &= label[part][:, None] != label[right][None, :]
+            if low[0] == high[0]:
+                near &= row[part][:, None] < row[right][None, :]
+            x, y = np.nonzero(near)
+            for j in range(0, len(x), 65536):
+                one, two = part[x[j : j + 65536]], right[y[j : j + 65536]]
+                same = (signs[one] == signs[two]).reshape(len(one), BANDS, ROWS).all(axis=2)
+                first = same.argmax(axis=1) == band[0]
+                a, b = row[one[first]], row[two[first]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())],
+                    names=["a", "b"],
+                )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for entry in zip(*(column.to_pylist() for column in batch.columns)):
+                if held and held[0][:3] != entry[:3]:
+                    yield from pairs(held)
+                    held = []
+                held.append(entry)
+        if held:
+            yield from pairs(held)
+
+    dealt = blocks(members, labels).join(texts.select("row", "signature"), "row")
+    dealt = dealt.select("key", "low", "high", "block", "band", "row", "label", "signature")
+    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.mapInArrow(work, "a long, b long")
+
+
+def still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of two components."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def classes(documents: DataFrame, share: float = SHARE) -> DataFrame:
     """``row, doc_id, copy, class_id, leader`` of every row of ``documents``.
 
@@ -323,7 +423,7 @@ def classes(documents: DataFrame, share: float = SHARE) -> DataFrame:
     edges = stored(verified(near, texts, share), "edges")
     labels = stored(components(edges), "labels")
 
-    # A pair at the threshold shares one of every second band with probability 0.99999.
+    # Further pivots connect large groups cheaply; every second band is enough for that.
     large = stored(members.where((F.col("n") > SMALL) & (F.col("band") % 2 == 0)), "large")
     tried = large.select("key", F.col("pivot").alias("node")).distinct().join(labels, "node", "left")
     tried = tried.select("key", F.coalesce("label", "node").alias("label"))
@@ -339,6 +439,19 @@ def classes(documents: DataFrame, share: float = SHARE) -> DataFrame:
         edges = edges.union(found)
         labels = stored(components(edges), "labels")
 
+    # What they have left apart is compared all with all. Of many pairs a few are verified first,
+    # as those that these connect need not be.
+    apart = stored(unconnected_pairs(members, labels, firsts), "apart")
+    count = apart.count()
+    turn, done = F.xxhash64("a", "b"), F.lit(False)
+    for one_of in () if not count else WAVES if count > ONE_WAVE else (1,):
+        now = F.pmod(turn, F.lit(one_of)) == 0
+        found = stored(verified(still_apart(apart.where(now & ~done), labels), texts, share), "edges")
+        done = now
+        if not found.isEmpty():
+            edges = edges.union(found)
+            labels = stored(components(edges), "labels")
+
     text_label = copies.join(labels, copies["text"] == labels["node"], "left").select(
         "copy", F.coalesce("label", "text").alias("label")
     )

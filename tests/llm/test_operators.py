@@ -582,6 +582,25 @@ def test_near_duplicates(spark, odd, nothing, tmp_path):
     assert rows(bag_minhash.keep_first(nothing)) == []
 
 
+def templates(pairs):
+    """Texts that are near to each other, and in pairs near enough; few bands tell a pair apart."""
+    own = lambda *x: " ".join(f"own{'x'.join(map(str, x))}x{i}" for i in range(17))
+    shared = " ".join(f"template{i}" for i in range(150))
+    return [(2 * k + j, f"{shared} pair{k} also{k} {own(k, j)}") for k in range(pairs) for j in range(2)]
+
+
+@pytest.mark.parametrize("block, one_wave", [(1024, 100_000), (7, 10)])
+def test_pairs_of_large_buckets_that_no_pivot_meets(spark, tmp_path, monkeypatch, block, one_wave):
+    monkeypatch.setattr(bag_minhash, "BLOCK", block)
+    monkeypatch.setattr(bag_minhash, "ONE_WAVE", one_wave)
+    source = templates(40)
+    documents(spark, source).repartition(3).write.parquet(str(tmp_path / "d"))
+    found = bag_minhash.classes(spark.read.parquet(str(tmp_path / "d"))).collect()
+    want = brute_classes(source)
+    assert len({c for _, c in want}) == 40
+    assert Counter((r.doc_id, r.class_id) for r in found) == want
+
+
 def test_registers_estimate_weighted_similarity():
     random = np.random.default_rng(4)
     hashes = random.integers(0, 2**63, 60).astype(np.uint64)
