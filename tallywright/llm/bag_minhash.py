@@ -26,11 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import mixed, ready, stored, unit, with_row_numbers
+from tallywright.llm.common import mixed, ready, stored, stored_with_rows, unit
 from tallywright.llm.components import components
 
 WIDTH, SHARE = 5, 0.8
@@ -140,15 +139,15 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 
 def signed(documents: DataFrame) -> DataFrame:
-    """``row, doc_id, copy, signature, bands``: a row number, what equal texts share, registers.
+    """``row, doc_id, copy, signature, bands`` of ``row, doc_id, text``.
 
     ``copy`` is a digest of the words and null for a text without words, which is nobody's copy.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, hasher = TaskContext.get().partitionId() << 36, ShingleHashes()
+        hasher = ShingleHashes()
         for batch in batches:
-            texts = [words_of(t) for t in batch.column(1).to_pylist()]
+            texts = [words_of(t) for t in batch.column(2).to_pylist()]
             n = len(texts)
             owner, hashes, weights, copies = [], [], [], []
             for i, words in enumerate(texts):
@@ -166,44 +165,20 @@ def signed(documents: DataFrame) -> DataFrame:
             keys = band_keys(registers)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(range(row, row + n), pa.int64()),
                     batch.column(0),
+                    batch.column(1),
                     pa.array(copies, pa.binary()),
                     pa.array([s.tobytes() for s in short], pa.binary()),
                     pa.array([k if c else [] for k, c in zip(keys, copies)], pa.list_(pa.int64())),
                 ],
                 names=["row", "doc_id", "copy", "signature", "bands"],
             )
-            row += n
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return documents.mapInArrow(
         work, "row long, doc_id long, copy binary, signature binary, bands array<long>"
     )
 
 
-def numbered(documents: DataFrame) -> DataFrame:
-    """``row, copy, text`` with the row numbers and digests of :func:`signed`.
-
-    Both read the same stored table in the same splits. Were that not so, a digest would not
-    fit its row, and the join that uses both would leave the row out.
-    """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            n = batch.num_rows
-            copies = [digest(words_of(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + n), pa.int64()), pa.array(copies, pa.binary()), batch.column(1)],
-                names=["row", "copy", "text"],
-            )
-            row += n
-
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        work, "row long, copy binary, text string"
-    )
-
-
 def agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of rows whose registers agree often enough to be verified."""
 
@@ -404,8 +379,14 @@ def classes(documents: DataFrame, share: float = SHARE) -> DataFrame:
     without words is a class of its own, as is a text in no pair; null texts have no words.
     Rows of equal ids are documents of their own, and rows without an id take part too.
     """
-    ready(documents.sparkSession)
-    rows = stored(signed(documents), "signed")
+    return classes_of(stored_with_rows(documents.select("doc_id", "text")), share)
+
+
+def classes_of(numbered: DataFrame, share: float) -> DataFrame:
+    """:func:`classes` of a table of :func:`stored_with_rows`."""
+    ready(numbered.sparkSession)
+    own = numbered.select("row", F.col("rest.doc_id").cast("long").alias("doc_id"), F.col("rest.text").alias("text"))
+    rows = stored(signed(own), "signed")
     copies = rows.where(F.col("copy").isNotNull()).groupBy("copy").agg(F.min("row").alias("text"))
     copies = stored(copies, "copies")
     firsts = stored(
@@ -418,8 +399,8 @@ def classes(documents: DataFrame, share: float = SHARE) -> DataFrame:
     pairs = stored(first_pairs(members), "pairs")
     near = stored(agreeing(pairs, firsts), "near")
 
-    wanted = members.select("row").distinct().join(rows.select("row", "copy"), "row")
-    texts = stored(numbered(documents).join(wanted, ["row", "copy"]).select("row", "text"), "texts")
+    wanted = members.select("row").distinct()
+    texts = stored(own.select("row", "text").join(wanted, "row"), "texts")
     edges = stored(verified(near, texts, share), "edges")
     labels = stored(components(edges), "labels")
 
@@ -472,5 +453,6 @@ def classes(documents: DataFrame, share: float = SHARE) -> DataFrame:
 
 def keep_first(documents: DataFrame, share: float = SHARE) -> DataFrame:
     """``documents``, all columns, with one row of each class: its lowest id, then its first row."""
-    dropped = stored(classes(documents, share).where(~F.col("leader")).select("row"), "dropped")
-    return with_row_numbers(documents).join(dropped, "row", "left_anti").select("rest.*")
+    numbered = stored_with_rows(documents)
+    dropped = stored(classes_of(numbered, share).where(~F.col("leader")).select("row"), "dropped")
+    return numbered.join(dropped, "row", "left_anti").select("rest.*")

@@ -78,7 +78,8 @@ def over_batches(
 def with_row_numbers(documents: DataFrame, row: str = "row", rest: str = "rest") -> DataFrame:
     """``row`` and all columns in a struct ``rest``, so that no name of theirs can clash.
 
-    Rows are numbered as tasks read them: the same numbers each time for a stored table.
+    Rows are numbered as tasks read them, and even a stored table may be dealt to tasks otherwise
+    the next time. Whoever uses the numbers twice needs :func:`stored_with_rows`.
     """
     packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias(rest))
 
@@ -93,6 +94,11 @@ def with_row_numbers(documents: DataFrame, row: str = "row", rest: str = "rest")
     return packed.mapInArrow(work, schema)
 
 
+def stored_with_rows(documents: DataFrame) -> DataFrame:
+    """``row`` and ``rest`` of :func:`with_row_numbers`, numbered once and written."""
+    return stored(with_row_numbers(documents), "numbered")
+
+
 def binary_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; empty for null."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -27,12 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import binary_texts, mixed, ready, stored, with_row_numbers
+from tallywright.llm.common import binary_texts, mixed, ready, stored, stored_with_rows
 
 MATCH, GRAM = 50, 24
 #: Runs or string bytes that a task holds before it sends them.
@@ -117,15 +116,9 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def texts_with_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int | None, bytes]]:
-    """``row, doc_id, text`` of a task's documents; rows are numbered as they are read.
-
-    That gives a row the same number whenever the same stored table is read.
-    """
-    row = TaskContext.get().partitionId() << 36
+    """``row, doc_id, text`` of a task's documents."""
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1))):
-            yield row, doc_id, text
-            row += 1
+        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_texts(batch.column(2)))
 
 
 def keys_sent(documents: DataFrame, buckets: int) -> DataFrame:
@@ -471,15 +464,13 @@ def joined_spans(firsts: list[int], lasts: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(documents: DataFrame) -> DataFrame:
-    """``row, firsts, lasts`` of the rows of ``documents`` that repeat earlier documents.
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """``row, firsts, lasts`` of the rows that repeat earlier documents.
 
-    The byte ranges may overlap. ``documents`` must be a stored table, or a plan that gives the
-    same rows in the same order whenever it runs.
+    The byte ranges may overlap. ``rows`` are :func:`row_id_and_bytes` of a stored table.
     """
-    spark = ready(documents.sparkSession)
-    rows = id_and_bytes(documents)
-    size = documents.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    spark = ready(rows.sparkSession)
+    size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     hot_from = max(HOT_DOCUMENTS, size // 10 // HOT_KEYS)
 
@@ -494,8 +485,11 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     )
 
 
-def id_and_bytes(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+def row_id_and_bytes(numbered: DataFrame) -> DataFrame:
+    """``row, doc_id, text`` of a table of :func:`stored_with_rows`."""
+    return numbered.select(
+        "row", F.col("rest.doc_id").cast("long").alias("doc_id"), F.col("rest.text").cast("binary").alias("text")
+    )
 
 
 def kept_bytes(text: bytes, firsts: list[int] | None, lasts: list[int] | None) -> tuple[bytes, int]:
@@ -526,7 +520,8 @@ def without_repeats(documents: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    whole = packed_texts(id_and_bytes(documents)).join(repeated_spans(documents), "row", "left")
+    own = row_id_and_bytes(stored_with_rows(documents.select("doc_id", "text")))
+    whole = packed_texts(own).join(repeated_spans(own), "row", "left")
     return whole.select("doc_id", "packed", "firsts", "lasts").mapInArrow(
         work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
@@ -538,7 +533,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     A character of which only some bytes stay goes as a whole. ``n_chars``, if there is such a
     column, counts anew where a text changed.
     """
-    spans = repeated_spans(documents)
+    numbered = stored_with_rows(documents)
+    spans = repeated_spans(row_id_and_bytes(numbered))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -551,7 +547,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
                 names=["rest", "text", "changed"],
             )
 
-    joined = with_row_numbers(documents).join(spans, "row", "left")
+    joined = numbered.join(spans, "row", "left")
     joined = joined.select("rest", F.col("rest.text").alias("text"), "firsts", "lasts")
     schema = T.StructType(
         [joined.schema["rest"], T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())]

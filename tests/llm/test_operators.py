@@ -601,6 +601,30 @@ def test_pairs_of_large_buckets_that_no_pivot_meets(spark, tmp_path, monkeypatch
     assert Counter((r.doc_id, r.class_id) for r in found) == want
 
 
+def test_rows_are_the_same_when_splits_change(spark, tmp_path, monkeypatch):
+    """As after an executor is lost or registered, each job deals the table to other tasks."""
+    source = near_copies()[:40]
+    documents(spark, source).repartition(6).write.parquet(str(tmp_path / "d"))
+    sizes, size_key = iter(["64k", "128m"] * 500), "spark.sql.files.maxPartitionBytes"
+
+    def change_before(f):
+        def changed(*given, **named):
+            spark.conf.set(size_key, next(sizes))
+            return f(*given, **named)
+
+        return changed
+
+    for module in (bag_minhash, repeats):
+        monkeypatch.setattr(module, "stored", change_before(module.stored))
+    try:
+        frame = spark.read.parquet(str(tmp_path / "d"))
+        found = bag_minhash.classes(frame).collect()
+        assert Counter((r.doc_id, r.class_id) for r in found) == brute_classes(source)
+        assert Counter(rows(repeats.digest(repeats.without_repeats(frame)))) == without_repeats(source)
+    finally:
+        spark.conf.unset(size_key)
+
+
 def test_registers_estimate_weighted_similarity():
     random = np.random.default_rng(4)
     hashes = random.integers(0, 2**63, 60).astype(np.uint64)
