@@ -8,7 +8,9 @@ the path from there up to the body is the page's threshold: wherever an element
 element with the highest sum below is taken, with all that is in it.
 
 Parts that are not an article by their element, role or name (menus, footers, forms, adverts,
-comments and so on) are taken off the tree first.
+comments and so on) are taken off the tree first. Names and forms only hint at that: such an
+element stays if it holds most of the text in several blocks, as a wrapper of the page does,
+and a name is a whole class or id. Where nothing is left, density decides without them.
 """
 
 from __future__ import annotations
@@ -63,8 +65,15 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?|[^<]+|<", re.S
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_NAME = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Words beside a name that leave it a name: ``cookie-notice``, ``comment-list``, ``ad-1``.
+PARTS = frozenset(
+    "area bar block box button buttons container content form group holder inner item items link links list "
+    "main site page post posts section slot top bottom left right text thread title unit wrap wrapper "
+    "primary secondary sticky us".split()
+)
+#: Share of the plain text from which a named element or form is a wrapper of the page.
+WRAPS = 0.5
 
 
 class Page:
@@ -130,24 +139,45 @@ class Page:
                 at = node
 
 
-def _surrounds(page: Page, node: int, keeps: list[bool], in_article: bool) -> bool:
+def _named(value: str) -> bool:
+    """Whether a class or id out of ``value`` is a name, with nothing but other names and parts."""
+    for token in value.split():
+        words = [w for w in re.split(r"[^a-z]+", _CAMEL.sub("-", token).lower()) if w]
+        if not NAMES.isdisjoint(words) and NAMES.union(PARTS).issuperset(words):
+            return True
+    return False
+
+
+def _surrounds(page: Page, node: int, keeps: list[bool], in_article: bool) -> int:
+    """0 for what may be an article, 2 for what is none, 1 for what is none by its name only."""
     tag = page.tag[node]
     if tag in SURROUNDINGS or tag == "header" and not in_article:
-        return not keeps[node]
+        return 0 if keeps[node] else 1 if tag in ("form", "fieldset") else 2
     attributes = page.names[node]
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    by_name = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
+            return 2
         if name == "role" and value.strip().lower() in ROLES:
-            return not keeps[node]
-        if name in ("class", "id"):
-            words = _NAME.findall(_CAMEL.sub("-", value).lower())
-            if not NAMES.isdisjoint(words):
-                return not keeps[node]
-    return False
+            return 0 if keeps[node] else 1 if value.strip().lower() == "form" else 2
+        by_name = by_name or name in ("class", "id") and _named(value)
+    return int(by_name and not keeps[node])
+
+
+def _plain(page: Page, off: list[bool]) -> list[int]:
+    """Characters outside links of each element with all in it that is not off."""
+    link, plain = [False] * len(off), [0] * len(off)
+    for node in range(1, len(off)):
+        link[node] = link[page.parent[node]] or page.tag[node] == "a"
+    for node, text in page.text:
+        if text is not None and not off[node] and not link[node]:
+            plain[node] += len("".join(text.split()))
+    for node in range(len(off) - 1, 0, -1):
+        plain[page.parent[node]] += plain[node]
+    return plain
 
 
 def main_text(source: str) -> str:
@@ -159,11 +189,23 @@ def main_text(source: str) -> str:
     for node in range(n - 1, 0, -1):
         if keeps[node] or tag[node] in ("article", "main", "body"):
             keeps[parent[node]] = True
-    off, article = [False] * n, [False] * n
+    sure, hints, article = [False] * n, [False] * n, [False] * n
     for node in range(1, n):
         up = parent[node]
         article[node] = article[up] or tag[node] in ("article", "main")
-        off[node] = off[up] or tag[node] in RAW or _surrounds(page, node, keeps, article[node])
+        kind = 2 if tag[node] in RAW else _surrounds(page, node, keeps, article[node])
+        sure[node], hints[node] = sure[up] or kind == 2, kind == 1
+    off = sure
+    if any(hints):
+        plain, off, inside = _plain(page, sure), [False] * n, [0] * n
+        for node in range(n - 1, 0, -1):
+            inside[parent[node]] += inside[node] + (tag[node] in BLOCKS and plain[node] > 0)
+        for node in range(1, n):
+            off[node] = off[parent[node]] or sure[node] or hints[node] and (
+                plain[node] < WRAPS * plain[0] or inside[node] < 2
+            )
+        if not any(text and text.strip() and not off[node] for node, text in page.text):
+            off = sure
 
     characters, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n

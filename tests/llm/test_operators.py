@@ -430,6 +430,15 @@ def test_main_text(spark):
     assert rows(main_text.extract(empty)) == []
 
 
+@pytest.mark.parametrize("wrapper", ['div class="content has-sidebar"', 'div id="page" class="no-comments"',
+                                     'div class="entry ad-free"', "form id=aspnetForm", 'div class="search"'])
+def test_main_text_in_a_wrapper_with_a_name(wrapper):
+    blocks = [f"Block {i} of the text, which is long enough to count as text of the page." for i in range(4)]
+    inner = "".join(f"<p>{b}</p>" for b in blocks[:3]) + f'<div class="legal-advice"><p>{blocks[3]}</p></div>'
+    page = f'<body><div class=sidebar><p>Beside it</p></div><{wrapper}>{inner}</{wrapper.split()[0]}></body>'
+    assert main_text.main_text(page) == "\n\n".join(blocks)
+
+
 def test_main_text_of_the_given_pages():
     import html
     import re
