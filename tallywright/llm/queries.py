@@ -9,13 +9,16 @@ from tallywright.llm import (
     bag_minhash,
     decontamination,
     lattice,
+    line_dedup,
     main_text,
     packing,
+    phrases,
     quality,
     repeats,
     token_counts,
     topk,
     training_order,
+    whitening,
 )
 from tallywright.llm.common import table
 
@@ -76,6 +79,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.kept_texts(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +105,9 @@ QUERIES = {
         op8_benchmark_containment,
         op9_token_counts,
         op10_bag_minhash,
+        op11_phrase_collocations,
+        op12_embedding_whitening,
+        op13_line_dedup,
     )
 }
 
@@ -127,3 +146,58 @@ shared AS (
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
 FROM shared JOIN sizes ON item_id = sizes.id WHERE n_shared >= 0.8 * n_item""",
 }
+
+# Fixed values of op11 and op13: the case mapping, piece ends, word gaps and white space.
+SQL["op11_phrase_collocations"] = r"""
+WITH d AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents
+), p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+    SELECT lang, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g
+    FROM w, range(1, 5) r(n) WHERE len(w) >= n
+), c AS (SELECT lang, n, g, count(*) AS f FROM g GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE n = 1 GROUP BY lang),
+cand AS (SELECT lang, n, g AS phrase, f AS a, string_split(g, ' ') AS w FROM c WHERE n >= 2 AND f >= 30),
+cuts AS (
+    SELECT lang, phrase, n, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:n], ' ') AS rp
+    FROM cand, range(1, 4) s(k) WHERE k < n
+), sc AS (
+    SELECT cuts.lang, phrase, cuts.n, a, k, cl.f AS l, cr.f AS r, ((2000000 * a::HUGEINT) // (cl.f + cr.f))::BIGINT AS score
+    FROM cuts JOIN c cl ON cl.lang = cuts.lang AND cl.g = lp JOIN c cr ON cr.lang = cuts.lang AND cr.g = rp
+), weakest AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM sc) WHERE o = 1
+), inner_spans AS (
+    SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, a AS outer_f
+    FROM cand, range(2, 4) x(s), range(1, 4) y(i) WHERE s < n AND i + s - 1 <= n
+), outer_max AS (SELECT lang, phrase, max(outer_f) AS outer_f FROM inner_spans GROUP BY ALL),
+kept AS (
+    SELECT weakest.* FROM weakest LEFT JOIN outer_max USING (lang, phrase)
+    WHERE outer_f IS NULL OR 100 * outer_f < 80 * a
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT ranked.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, totals.n, score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+SQL["op13_line_dedup"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (SELECT rid, doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM d),
+keyed AS (
+    SELECT rid, doc_id, i, parts[i] AS line,
+           translate(trim(parts[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+    FROM lines
+), keys AS (
+    SELECT k, max(doc_id) AS keeper FROM keyed WHERE doc_id IS NOT NULL AND length(k) >= 20
+    GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), marks AS (
+    SELECT keyed.*, coalesce(keyed.doc_id IS NOT NULL AND keyed.doc_id <> keys.keeper, false) AS dropped
+    FROM keyed LEFT JOIN keys ON keyed.k = keys.k AND length(keyed.k) >= 20
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marks GROUP BY rid, doc_id"""
