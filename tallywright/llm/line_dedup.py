@@ -3,8 +3,9 @@
 Everything here is DataFrame code that runs inside the JVM: no Python worker, no pandas, no RDD.
 
 The method: every line gets a key (white space ``[\\x20\\x09-\\x0D]`` stripped at both ends,
-A-Z lower-cased) and the 64-bit hash of that key. Which documents hold a key is settled by two
-aggregations that combine on the map side, first per (hash, key, document), then per (hash, key),
+A-Z lower-cased) and the key's 128-bit MD5 digest, which stands for it in every shuffle, so no
+line's text is moved. Which documents hold a key is settled by two aggregations that combine on
+the map side, first per (digest, document), then per digest,
 so a line found in a third of all documents costs one partial row per task, never one task.
 Lines of dropped keys are then marked by a join that is salted over ``SPLITS`` parts, so a hot
 key spreads over as many tasks. Marks come back per document, sorted by position, as a
@@ -16,10 +17,11 @@ Defined results for odd input:
 * null or empty text: one empty line, never dropped (its key is shorter than ``SHORTEST``);
 * rows with a null ``doc_id`` take no part: they hold no key and lose no line;
 * repeated rows of one ``doc_id`` are one document for the count of holders; when that id is the
-  largest holder, every such row keeps the line. Rows are told apart by (``doc_id``, SHA-256 of
-  the text), so equal repeated rows get equal results;
-* keys are compared whole and exactly (the hash only spreads the work), so very long lines are
-  fine; ties cannot arise, since the keeper is one id; an empty table gives an empty result;
+  largest holder, every such row keeps the line. Rows are told apart by (``doc_id``, 64-bit
+  hash of the text), so equal repeated rows get equal results;
+* keys are compared by their 128-bit digest, of the whole line however long: two different keys
+  would have to collide in MD5; ties cannot arise, since the keeper is one id; an empty table
+  gives an empty result;
 * other columns, whatever their names, pass through :func:`kept_texts` untouched.
 """
 
@@ -52,13 +54,13 @@ def _split(text: Column) -> Column:
 
 
 def _identity(text: Column) -> Column:
-    return F.sha2(F.coalesce(text, F.lit("")), 256)
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
-    """(``_d``, ``_t``, ``_p``, ``_k``, ``_h``) of every line that could be dropped.
+    """(``_d``, ``_t``, ``_p``, ``_k``) of every line that could be dropped.
 
-    Document, text digest, position from 0, key and hash of the key; only lines with a key of
+    Document, hash of its text, position from 0 and digest of the key; only lines with a key of
     ``SHORTEST`` code points or more, in documents with an id.
     """
     lines = documents.where(F.col("doc_id").isNotNull()).select(
@@ -67,14 +69,14 @@ def lines_of(documents: DataFrame) -> DataFrame:
         F.posexplode(_split(F.col("text"))).alias("_p", "_l"),
     )
     keyed = lines.select("_d", "_t", F.col("_p").cast("long").alias("_p"), key_of(F.col("_l")).alias("_k"))
-    return keyed.where(F.length("_k") >= SHORTEST).withColumn("_h", F.xxhash64("_k"))
+    return keyed.where(F.length("_k") >= SHORTEST).withColumn("_k", F.unhex(F.md5("_k")))
 
 
 def dropped_keys(lines: DataFrame) -> DataFrame:
-    """(``_h``, ``_k``, ``_keep``) of every key held by enough documents; ``_keep``: largest id."""
-    holders = lines.select("_h", "_k", "_d").distinct()
-    counted = holders.groupBy("_h", "_k").agg(F.count("*").alias("_n"), F.max("_d").alias("_keep"))
-    return counted.where(F.col("_n") >= LEAST_DOCUMENTS).select("_h", "_k", "_keep")
+    """(``_k``, ``_keep``) of every key digest held by enough documents; ``_keep``: largest id."""
+    holders = lines.select("_k", "_d").distinct()
+    counted = holders.groupBy("_k").agg(F.count("*").alias("_n"), F.max("_d").alias("_keep"))
+    return counted.where(F.col("_n") >= LEAST_DOCUMENTS).select("_k", "_keep")
 
 
 def keep_bitmaps(documents: DataFrame) -> DataFrame:
@@ -88,7 +90,7 @@ def keep_bitmaps(documents: DataFrame) -> DataFrame:
     keys = dropped_keys(lines).withColumn("_s", salts)
     marked = (
         lines.withColumn("_s", F.pmod(F.xxhash64("_d", "_t", "_p"), F.lit(SPLITS)))
-        .join(keys, ["_h", "_k", "_s"])
+        .join(keys, ["_k", "_s"])
         .where(F.col("_d") != F.col("_keep"))
         .select("_d", "_t", "_p")
         .distinct()
