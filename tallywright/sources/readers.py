@@ -174,22 +174,123 @@ def read_text_files(
     paths: str | Sequence[str],
     options: TextOptions = TextOptions(),
     columns: Sequence[str] | None = None,
+    file_column: str | None = None,
 ) -> DataFrame:
     """Delimited files whose columns may differ in number and order, united by name.
 
-    Headings are looked up per file (one line each, several files at a time); files with
-    the same heading are then read together, so the plan grows with the number of
-    different headings and not with the number of files.
+    ``file_column`` names a column for the file of each line, if one is wanted.
+
+    Headings are found inside the tasks of one job, from the first split of each file; the
+    driver sees only the distinct headings, and files join their group by a table. All files
+    are then read in one scan and each line is parsed by its group's heading, so the number
+    of jobs does not grow with the number of files.
+    """
+    df = _grouped(spark, paths, options)
+    lines = fitting_lines(df if file_column else df.drop(FILE), options)
+    kept = lines if columns is None else keep_columns(lines, [*columns, *([FILE] if file_column else [])])
+    return kept.withColumnRenamed(FILE, file_column) if file_column else kept
+
+
+#: Column of the file a line comes from, while files with different headings are read.
+FILE = "_file"
+#: Separator of the reader of whole lines: a line that holds it is still taken whole.
+WHOLE_LINE_SEP = "\u0001"
+
+
+def _whole_lines(spark: SparkSession, paths: str | Sequence[str], options: TextOptions, header: bool) -> DataFrame:
+    """Each line of each file as one decoded string ``_line``, with ``_file`` and ``_start``.
+
+    With ``header`` Spark drops the first line of each file, in the task that reads it.
     """
-    frames = [fitting_lines(df, options) for df in _by_heading(spark, paths, options)]
-    united = union_by_name(frames)
-    return united if columns is None else keep_columns(united, columns)
+    reader = spark.read.options(
+        sep=WHOLE_LINE_SEP,
+        quote="",
+        encoding=charset(options.encoding),
+        header=header,
+        enforceSchema=True,
+        mode="PERMISSIVE",
+        columnNameOfCorruptRecord="_whole",
+        multiLine=False,
+    ).schema("_part string, _whole string")
+    df = reader.csv(paths if isinstance(paths, str) else list(paths))
+    return df.select(
+        F.coalesce(F.col("_whole"), F.col("_part")).alias("_line"),
+        F.col("_metadata.file_path").alias(FILE),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_order"),
+    )
+
+
+def heading_fields(line: str, options: TextOptions) -> tuple[str | None, ...]:
+    """Fields of a heading line as they stand there; an empty one is null."""
+    if options.quoting and len(options.sep) == 1:
+        import csv
+
+        fields = next(csv.reader([line], delimiter=options.sep, quotechar='"', doublequote=True), [])
+    else:
+        fields = line.split(options.sep)
+    return tuple(field if field != "" else None for field in fields)
+
+
+def _grouped(spark: SparkSession, paths: str | Sequence[str], options: TextOptions) -> DataFrame:
+    """Parsed lines of all files, each by the heading of its file, bad ones in ``BAD_LINE``.
+
+    Multi-line records and files without heading take the older way: one reading per group of
+    files, after one small job per file.
+    """
+    if options.multiline or not options.header:
+        return union_by_name(
+            df.withColumn(FILE, F.input_file_name()) for df in _by_heading(spark, paths, options)
+        )
+    from tallywright.session import write_through
+
+    firsts = (
+        _whole_lines(spark, paths, options, header=False)
+        .where(F.col("_start") == 0)
+        .groupBy(FILE)
+        .agg(F.min_by("_line", "_order").alias("_heading"))
+    )
+    firsts = write_through(firsts)
+    found = firsts.groupBy("_heading").agg(F.min(FILE).alias("_first")).collect()
+    if not found:
+        raise FileNotFoundError(f"no files match {paths!r}")
+    found = sorted(found, key=lambda r: r["_first"])
+    groups = spark.createDataFrame(
+        [(r["_heading"], i) for i, r in enumerate(found)], "_heading string, _group int"
+    )
+    lines = _whole_lines(spark, paths, options, header=True).join(
+        firsts.join(groups, "_heading").select(FILE, "_group"), FILE
+    )
+    csv_options = {
+        "sep": options.sep,
+        "quote": '"' if options.quoting else "",
+        "escape": '"' if options.quoting else "\\",
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": BAD_LINE,
+    }
+    places: dict[str, list[Column]] = {}
+    parsed = []
+    for i, row in enumerate(found):
+        names = [n.strip() for n in unique_names(heading_fields(row["_heading"], options))]
+        ddl = ", ".join(f"c{p} STRING" for p in range(len(names))) + f", `{BAD_LINE}` STRING"
+        parsed.append(
+            F.when(F.col("_group") == i, F.from_csv(F.col("_line"), ddl, csv_options)).alias(f"_g{i}")
+        )
+        for p, name in enumerate(names):
+            places.setdefault(name, []).append(F.col(f"_g{i}.c{p}"))
+    bad = F.coalesce(*(F.col(f"_g{i}.{BAD_LINE}") for i in range(len(found))), F.lit(None).cast("string"))
+    each = lines.select(FILE, *parsed)
+    return each.select(
+        *(F.coalesce(*cols, F.lit(None).cast("string")).alias(name) for name, cols in places.items()),
+        bad.alias(BAD_LINE),
+        FILE,
+    )
 
 
 def _by_heading(
     spark: SparkSession, paths: str | Sequence[str], options: TextOptions
 ) -> list[DataFrame]:
-    """Parsed lines of each group of files that share their heading."""
+    """Parsed lines of each group of files that share their heading, one small job per file."""
     files = list_files(spark, paths) if isinstance(paths, str) else list(paths)
     if not files:
         raise FileNotFoundError(f"no files match {paths!r}")
@@ -206,13 +307,10 @@ def rejected_lines(
     spark: SparkSession, paths: str | Sequence[str], options: TextOptions = TextOptions()
 ) -> DataFrame:
     """``file, line`` of all lines that do not fit the heading of their file."""
-    frames = [
-        df.filter(F.col(BAD_LINE).isNotNull() & _read(df)).select(
-            F.input_file_name().alias("file"), F.col(BAD_LINE).alias("line")
-        )
-        for df in _by_heading(spark, paths, options)
-    ]
-    return union_by_name(frames)
+    df = _grouped(spark, paths, options)
+    return df.filter(F.col(BAD_LINE).isNotNull()).select(
+        F.col(FILE).alias("file"), F.col(BAD_LINE).alias("line")
+    )
 
 
 def read_titled_text(

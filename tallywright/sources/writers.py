@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.operators.mapping import column
@@ -98,9 +97,7 @@ def recode_text(
 
     ``keep_source`` adds the file of each row, as the order of files is not kept.
     """
-    df = read_text_files(spark, source, options)
-    if keep_source:
-        df = df.withColumn("source_file", F.input_file_name())
+    df = read_text_files(spark, source, options, file_column="source_file" if keep_source else None)
     write_text(df, target, options.sep, encoding)
 
 

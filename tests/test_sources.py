@@ -219,3 +219,41 @@ def test_intake_takes_new_files_once(spark, tmp_path):
     assert run() == [("1", 5.0), ("2", 6.0), ("3", 7.5)]
     assert run() == [("1", 5.0), ("2", 6.0), ("3", 7.5)]
     assert spark.read.parquet(target).first().amount.__class__ is Decimal
+
+
+def jobs_of(spark, work) -> int:
+    """Number of Spark jobs that ``work`` starts."""
+    import uuid
+
+    context, group = spark.sparkContext, f"count-{uuid.uuid4().hex}"
+    context.setJobGroup(group, "counted")
+    try:
+        work()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    return len(context.statusTracker().getJobIdsForGroup(group))
+
+
+def test_headings_of_many_files_take_as_many_jobs_as_of_few(spark, tmp_path):
+    def folder(name, files):
+        for i in range(files):
+            heading = "a|b" if i % 2 else "b|a|c"
+            put(tmp_path / name, f"{i:03}.txt", f"{heading}\n{i}|x{i}\n{i}|y|z|too many\n")
+        return str(tmp_path / name / "*.txt")
+
+    options = TextOptions(sep="|", bad_lines=readers.SET_ASIDE)
+    # Above 32 paths Spark lists files in a job of its own, so both counts are taken beyond that.
+    few, many = folder("few", 40), folder("many", 200)
+    counts = [jobs_of(spark, lambda p=p: readers.read_text_files(spark, p, options).collect()) for p in (few, many)]
+    assert counts[0] == counts[1] <= 9
+    rows = readers.read_text_files(spark, many, options)
+    assert rows.columns == ["b", "a", "c"] and rows.count() == 100
+    assert readers.rejected_lines(spark, many, options).count() == 300
+
+
+def test_heading_drops_only_the_first_line(spark, tmp_path):
+    put(tmp_path / "h", "1.txt", "a|b\na|b\n1|2\n")
+    put(tmp_path / "h", "2.txt", "b|a\n3|4\n")
+    df = readers.read_text_files(spark, str(tmp_path / "h" / "*.txt"), TextOptions(sep="|"), file_column="file")
+    assert records(df, "a", "b") == [("1", "2"), ("4", "3"), ("a", "b")]
+    assert sorted({Path(r.file).name for r in df.collect()}) == ["1.txt", "2.txt"]
