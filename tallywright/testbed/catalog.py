@@ -30,7 +30,7 @@ from tallywright.operators import (
     totals,
 )
 from tallywright.operators.mapping import KEYIN, MAP, MapRule
-from tallywright.plans import prepare, reconciliation
+from tallywright.plans import prepare, publish, reconciliation
 from tallywright.plans.review import review
 from tallywright.schema import BALANCES, MONEY
 from tallywright.session import shared_path, write_through
@@ -602,6 +602,25 @@ def _(spark, sf):
     )
 
 
+@register(
+    "published_lines", "J1 A10 A1", "BELNR BUZEI DMBTR BLART HDATE BKTXT",
+    """SELECT r.BELNR, BUZEI, DMBTR, BLART, HDATE, BKTXT FROM raw r
+    LEFT JOIN (SELECT DISTINCT * FROM headers) h ON r.BELNR = h.BELNR""",
+)
+def _(spark, sf):
+    # Written, audited by rows and control total in the writing job, then published.
+    target = f"{_folder(spark)}/published"
+    publish.publish_with_headers(
+        commerce.raw_extract(spark, sf),
+        commerce.document_headers(spark, sf),
+        target,
+        ["BELNR"],
+        ["BLART", "HDATE", "BKTXT"],
+        amount=amounts.parse_erp_amount(F.col("DMBTR")),
+    )
+    return readers.read_parquet(spark, target)
+
+
 @register(
     "repeated_headers", "J1 A11", "BELNR row_count:i",
     "SELECT BELNR, count(*) AS row_count FROM headers GROUP BY BELNR HAVING count(*) > 1",
