@@ -7,6 +7,7 @@ A-Z lower-cased) and the key's 128-bit MD5 digest, which stands for it in every
 line's text is moved. Which documents hold a key is settled by two aggregations that combine on
 the map side, first per (digest, document), then per digest,
 so a line found in a third of all documents costs one partial row per task, never one task.
+The digests of all lines are written once to the shared folder, and both steps read them.
 Lines of dropped keys are then marked by a join that is salted over ``SPLITS`` parts, so a hot
 key spreads over as many tasks. Marks come back per document, sorted by position, as a
 compressed keep bitmap: the list of dropped runs ``(first, count)``. Texts are not carried
@@ -30,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.llm.common import stored
+
 # Fixed values of the contract: the white space stripped from keys, and the case mapping.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -45,8 +48,17 @@ RUNS = "array<struct<first:bigint,count:bigint>>"
 
 
 def key_of(line: Column) -> Column:
-    """The key of a line: stripped of white space at both ends, A-Z lower-cased."""
-    return F.translate(F.trim(line, F.lit(WHITE)), UPPER, LOWER)
+    """The key of a line: stripped of white space at both ends, A-Z lower-cased.
+
+    A line of ASCII alone (as many bytes as code points) takes Spark's ``lower``, which is the
+    same there and much faster; other lines take ``translate``, which leaves all but A-Z alone.
+    """
+    return _lowered(F.trim(line, F.lit(WHITE)))
+
+
+def _lowered(trimmed: Column) -> Column:
+    ascii_only = F.octet_length(trimmed) == F.length(trimmed)
+    return F.when(ascii_only, F.lower(trimmed)).otherwise(F.translate(trimmed, UPPER, LOWER))
 
 
 def _split(text: Column) -> Column:
@@ -68,8 +80,10 @@ def lines_of(documents: DataFrame) -> DataFrame:
         _identity(F.col("text")).alias("_t"),
         F.posexplode(_split(F.col("text"))).alias("_p", "_l"),
     )
-    keyed = lines.select("_d", "_t", F.col("_p").cast("long").alias("_p"), key_of(F.col("_l")).alias("_k"))
-    return keyed.where(F.length("_k") >= SHORTEST).withColumn("_k", F.unhex(F.md5("_k")))
+    # Trimming keeps the length of the key, so short lines are left before lower-casing.
+    trimmed = lines.select("_d", "_t", F.col("_p").cast("long").alias("_p"), F.trim("_l", F.lit(WHITE)).alias("_k"))
+    long_keys = trimmed.where(F.length("_k") >= SHORTEST)
+    return long_keys.withColumn("_k", F.unhex(F.md5(_lowered(F.col("_k")))))
 
 
 def dropped_keys(lines: DataFrame) -> DataFrame:
@@ -85,7 +99,8 @@ def keep_bitmaps(documents: DataFrame) -> DataFrame:
     ``dropped`` lists the maximal runs of dropped lines as ``(first, count)``, positions from 0,
     in order. Documents that keep every line have no row here.
     """
-    lines = lines_of(documents.select("doc_id", "text"))
+    # Lines are split and digested once; both the count of holders and the marks read them.
+    lines = stored(lines_of(documents.select("doc_id", "text")), "line-keys")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1)))
     keys = dropped_keys(lines).withColumn("_s", salts)
     marked = (
