@@ -79,3 +79,68 @@ def _append(rows: DataFrame, target: str, progress_path: str) -> StreamingQuery:
         .trigger(availableNow=True)
         .start()
     )
+
+
+#: Folders of one batch under the root of :func:`intake_checked`.
+ACCEPTED, REJECTED, STAGING = "accepted", "rejected", "_staging"
+
+
+def intake_checked(
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    root: str,
+    progress_path: str,
+    options: TextOptions = TextOptions(),
+    files_per_chunk: int = 100,
+    prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
+    between: Callable[[int], None] = lambda batch_id: None,
+) -> StreamingQuery:
+    """One run that reads each new file once and writes both the lines that fit and the others.
+
+    Each micro-batch is kept for its two writes, which go to ``root/_staging/batch=N``; one
+    rename then publishes the batch as ``root/batch=N`` with ``accepted`` and ``rejected`` in it.
+    A run cut off at any point is started again with the same ``progress_path``: the batch is
+    written anew over what was left, so readers (:func:`checked_lines`) see both parts of a batch
+    or neither, and no line twice. ``between`` is called between the two writes (for tests).
+    """
+    lines = _lines(spark, folder, schema, options, files_per_chunk).withColumn("_file", F.input_file_name())
+    read = F.length(F.coalesce(lines.columns[0], F.lit(""))) >= 0
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            staging = f"{root.rstrip('/')}/{STAGING}/batch={batch_id}"
+            kept = batch.filter(F.col(BAD_LINE).isNull() & read).drop(BAD_LINE, "_file")
+            prepare(kept).write.mode("overwrite").parquet(f"{staging}/{ACCEPTED}")
+            between(batch_id)
+            bad = batch.filter(F.col(BAD_LINE).isNotNull() & read).select(
+                F.col("_file").alias("file"), F.col(BAD_LINE).alias("line")
+            )
+            bad.write.mode("overwrite").parquet(f"{staging}/{REJECTED}")
+            _publish(spark, staging, f"{root.rstrip('/')}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return (
+        lines.writeStream.foreachBatch(write)
+        .option("checkpointLocation", progress_path)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def _publish(spark: SparkSession, staging: str, final: str) -> None:
+    """Move a written batch into place, over any copy an earlier, cut-off run left there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    source, target = hadoop(staging), hadoop(final)
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"could not publish {staging} as {final}")
+
+
+def checked_lines(spark: SparkSession, root: str, part: str = ACCEPTED) -> DataFrame:
+    """Lines of all published batches of :func:`intake_checked`: ``accepted`` or ``rejected``."""
+    return spark.read.option("basePath", root).parquet(f"{root.rstrip('/')}/batch=*/{part}").drop("batch")

@@ -36,7 +36,7 @@ from tallywright.schema import BALANCES, MONEY
 from tallywright.session import shared_path, write_through
 from tallywright.settings import FS_LINE
 from tallywright.sources import readers, writers
-from tallywright.streaming.intake import append_new_files, append_rejected_lines
+from tallywright.streaming.intake import append_new_files, append_rejected_lines, checked_lines, intake_checked
 from tallywright.testbed import commerce
 from tallywright.testbed.commerce import SETTINGS
 from tallywright.testbed.sql import canonical, shape, statement
@@ -248,6 +248,31 @@ def _(spark, sf):
     )
 
 
+@register(
+    "checked_intake", "S11 S1 S2", "part line",
+    f"""SELECT CASE WHEN bad THEN 'rejected' ELSE 'accepted' END AS part, line FROM ({BAD_ORDERS})""",
+)
+def _(spark, sf):
+    # One run reads each file once and writes accepted and rejected lines of a batch together.
+    key, rest = F.col("o_orderkey"), F.concat(F.lit("|"), F.col("o_orderstatus"))
+    tail = F.when(key % 10 == 0, F.concat(rest, F.lit("|more"))).when(key % 10 == 1, "").otherwise(rest)
+    names = ["o_orderkey", "o_orderpriority", "note"]
+    line = F.concat(key.cast("string"), F.lit("|"), F.col("o_orderpriority"), tail)
+    folder, root = _folder(spark), _folder(spark)
+    (
+        commerce.table(spark, sf, "orders")
+        .select(line.alias("|".join(names)))
+        .repartition(4)
+        .write.option("header", True).option("sep", "\u0001").option("quote", "").csv(folder)
+    )
+    options = readers.TextOptions(sep="|", quoting=False, bad_lines=readers.SET_ASIDE)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    intake_checked(spark, folder, schema, root, _folder(spark), options, files_per_chunk=2).awaitTermination()
+    accepted = checked_lines(spark, root).select(F.lit("accepted").alias("part"), F.concat_ws("|", *names).alias("line"))
+    rejected = checked_lines(spark, root, "rejected").select(F.lit("rejected").alias("part"), "line")
+    return accepted.unionByName(rejected)
+
+
 @register(
     "titled_text", "S10", "code:i priority",
     "SELECT o_orderkey AS code, o_orderpriority AS priority FROM orders",
