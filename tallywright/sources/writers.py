@@ -70,17 +70,27 @@ def compact(
 
 
 def write_text(
-    df: DataFrame, path: str, sep: str = "\t", encoding: str = "utf-8", mode: str = "errorifexists"
+    df: DataFrame,
+    path: str,
+    sep: str = "\t",
+    encoding: str = "utf-8",
+    mode: str = "errorifexists",
+    quoting: bool = True,
 ) -> None:
-    """Delimited text with a heading in each part file."""
+    """Delimited text with a heading in each part file; blanks around values are kept.
+
+    ``quoting=False`` writes quotes as plain characters, as the reader with that option reads them.
+    """
     (
         df.write.mode(mode)
         .option("sep", sep)
         .option("header", True)
         .option("encoding", charset(encoding))
-        .option("quote", '"')
-        .option("escape", '"')
+        .option("quote", '"' if quoting else "")
+        .option("escape", '"' if quoting else "\\")
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
@@ -98,7 +108,43 @@ def recode_text(
     ``keep_source`` adds the file of each row, as the order of files is not kept.
     """
     df = read_text_files(spark, source, options, file_column="source_file" if keep_source else None)
-    write_text(df, target, options.sep, encoding)
+    write_text(df, target, options.sep, encoding, quoting=options.quoting)
+
+
+def recode_lines(
+    spark: SparkSession, source: str | Sequence[str], target: str, options: TextOptions, encoding: str = "utf-8"
+) -> None:
+    """Concatenate text files in another encoding, each line as it stands; no field is parsed.
+
+    Lines are decoded and encoded whole, so stray quotes, surplus separators and blanks come out
+    as they went in. Each file's first line, its heading, is dropped by its place in the task that
+    reads it, and each part file written starts with the heading. All files must share one
+    heading; files with others are refused by name, as their lines cannot go under it.
+    """
+    from pyspark.sql import functions as F
+
+    from tallywright.sources.readers import WHOLE_LINE_SEP, _whole_lines
+
+    firsts = (
+        _whole_lines(spark, source, options, header=False)
+        .where(F.col("_start") == 0)
+        .groupBy("_file")
+        .agg(F.min_by("_line", "_order").alias("_heading"))
+    )
+    headings = firsts.groupBy("_heading").agg(F.min("_file").alias("_file")).take(2)
+    if len(headings) != 1:
+        raise ValueError(f"files with different headings cannot share one: {[r['_file'] for r in headings]}")
+    lines = _whole_lines(spark, source, options, header=True).select(F.col("_line").alias(headings[0]["_heading"]))
+    (
+        lines.write.option("header", True)
+        .option("sep", WHOLE_LINE_SEP)
+        .option("quote", "")
+        .option("escape", "\\")
+        .option("encoding", charset(encoding))
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(target)
+    )
 
 
 def append_jdbc(

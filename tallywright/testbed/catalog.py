@@ -332,6 +332,32 @@ def _(spark, sf):
     return readers.read_text(spark, folder)
 
 
+@register(
+    "recoded_lines", "S9 S5", "line",
+    """SELECT o_orderkey || '|"' || o_orderpriority || ' |' ||
+        CASE o_orderstatus WHEN 'F' THEN ' 완료' WHEN 'O' THEN '똠방 ' ELSE '"진행' END ||
+        CASE WHEN o_orderkey % 7 = 0 THEN '|surplus|' ELSE '' END AS line FROM orders""",
+)
+def _(spark, sf):
+    # Lines with stray quotes, blanks and surplus separators, UTF-8 to cp949 and back.
+    status, key = F.col("o_orderstatus"), F.col("o_orderkey")
+    word = F.when(status == "F", " 완료").when(status == "O", "똠방 ").otherwise('"진행')
+    tail = F.when(key % 7 == 0, "|surplus|").otherwise("")
+    line = F.concat(key.cast("string"), F.lit('|"'), F.col("o_orderpriority"), F.lit(" |"), word, tail)
+    plain, korean, back = _folder(spark), _folder(spark), _folder(spark)
+    (
+        commerce.table(spark, sf, "orders").select(line.alias("key|priority|word")).repartition(3)
+        .write.option("header", True).option("sep", "\u0001").option("quote", "")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(plain)
+    )
+    options = readers.TextOptions(sep="|", quoting=False)
+    writers.recode_lines(spark, f"{plain}/*.csv", korean, options, encoding="cp949")
+    writers.recode_lines(spark, f"{korean}/*.csv", back, readers.TextOptions(sep="|", quoting=False, encoding="cp949"))
+    return spark.read.text(f"{back}/*.csv").where(F.col("value") != "key|priority|word").select(
+        F.col("value").alias("line")
+    )
+
+
 @register("compacted_parquet", "S4", "o_orderkey:i o_custkey:i o_orderstatus",
           "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
 def _(spark, sf):

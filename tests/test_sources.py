@@ -257,3 +257,26 @@ def test_heading_drops_only_the_first_line(spark, tmp_path):
     df = readers.read_text_files(spark, str(tmp_path / "h" / "*.txt"), TextOptions(sep="|"), file_column="file")
     assert records(df, "a", "b") == [("1", "2"), ("4", "3"), ("a", "b")]
     assert sorted({Path(r.file).name for r in df.collect()}) == ["1.txt", "2.txt"]
+
+
+def test_lines_are_recoded_as_they_stand(spark, tmp_path):
+    lines = ['1|"half quote |x', "2| blanks kept |y ", "3|완료|surplus|", '4|say "hi" there|z']
+    put(tmp_path / "a", "1.txt", "n|text|w\n" + "\n".join(lines[:2]) + "\n")
+    put(tmp_path / "a", "2.txt", "n|text|w\n" + "\n".join(lines[2:]) + "\n")
+    options = TextOptions(sep="|", quoting=False)
+    writers.recode_lines(spark, str(tmp_path / "a" / "*.txt"), str(tmp_path / "k"), options, encoding="cp949")
+    korean = b"".join(p.read_bytes() for p in sorted((tmp_path / "k").glob("part-*")))
+    assert "3|완료|surplus|".encode("cp949") in korean
+    back = TextOptions(sep="|", quoting=False, encoding="cp949")
+    writers.recode_lines(spark, str(tmp_path / "k" / "*.csv"), str(tmp_path / "u"), back)
+    got = [line for line in text_of(tmp_path / "u") if line != "n|text|w"]
+    assert sorted(got) == sorted(lines)
+    put(tmp_path / "b", "3.txt", "other|heading\n1|2\n")
+    with pytest.raises(ValueError, match="different headings"):
+        writers.recode_lines(spark, [str(tmp_path / "a" / "1.txt"), str(tmp_path / "b" / "3.txt")], str(tmp_path / "x"), options)
+
+
+def test_written_text_keeps_blanks_and_plain_quotes(spark, tmp_path):
+    df = spark.createDataFrame([("3", "plain "), ("1", 'say "hi" there')], "n string, t string")
+    writers.write_text(df, str(tmp_path / "w"), sep="|", quoting=False)
+    assert sorted(line for line in text_of(tmp_path / "w") if line != "n|t") == ['1|say "hi" there', "3|plain "]
