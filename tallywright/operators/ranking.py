@@ -15,43 +15,46 @@ from pyspark.sql.window import Window
 from tallywright.operators.totals import total_or_zero
 
 
-def _magnitude(value: Column) -> Column:
-    """Slice of the number line by length and first four digits of the cents.
-
-    Grows with ``value`` (not negative). A slice holds at most 10^(digits - 4) different
-    values, and there are at most 9,000 slices per length.
-    """
-    cents = (value * F.lit(100)).cast("decimal(38,0)").cast("string")
-    head = F.rpad(F.substring(cents, 1, 4), 4, "0").cast("int")
-    return F.length(cents) * 10_000 + head
+#: Quantiles of a group's distinct sizes that cut it into parts; a part is one window's work.
+PARTS = 64
+#: Relative accuracy of the quantiles (that of ``percentile_approx``); it moves bounds, not ranks.
+ACCURACY = 10_000
+
+
+def parts_of(values: DataFrame, by: Sequence[str], size: str) -> DataFrame:
+    """``values`` with ``_part``: how many of its group's ``PARTS - 1`` quantile bounds lie above it."""
+    fractions = F.array(*(F.lit(i / PARTS) for i in range(1, PARTS)))
+    bounds = values.groupBy(*by).agg(F.percentile_approx(size, fractions, ACCURACY).alias("_bounds"))
+    return values.join(bounds, list(by)).select(
+        *values.columns, F.size(F.filter("_bounds", lambda b: b > F.col(size))).alias("_part")
+    )
 
 
 def rank_all(df: DataFrame, by: Sequence[str], size: str, name: str = "rank") -> DataFrame:
-    """Rank of every row by ``size`` (money, not negative) within ``by``, largest first.
-
-    The rank of a value is one more than the number of rows above it. Rows are first
-    counted per distinct value (equal values collapse before the shuffle); the rows above
-    a value are those in higher slices of its group plus those above it in its own slice.
-    A hot group thus spreads over as many tasks as it has slices.
+    """Rank of every row by ``size`` within ``by``, largest first; ties share the lowest rank.
+
+    The rank of a value is one more than the number of rows above it. Rows are first counted
+    per distinct value (equal values collapse before the shuffle). Each group's bounds come
+    from the data: ``PARTS`` approximate quantiles of its sizes, an aggregate that combines on
+    the map side. A value's part is the number of bounds above it, so a group of a million
+    distinct sizes spreads over as many parts, whatever their digits. Rows above a value are
+    those of the group's higher parts (a prefix sum over at most ``PARTS`` counts per group)
+    plus those above it within its own part.
     """
     by = list(by)
-    values = (
-        df.groupBy(*by, size)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_slice", _magnitude(F.col(size)))
-    )
+    parted = parts_of(df.groupBy(*by, size).agg(F.count(F.lit(1)).alias("_n")), by, size)
     above = lambda window: F.coalesce(
         F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    slices = (
-        values.groupBy(*by, "_slice")
+    parts = (
+        parted.groupBy(*by, "_part")
         .agg(total_or_zero(F.col("_n")).alias("_n"))
-        .withColumn("_higher", above(Window.partitionBy(*by).orderBy(F.desc("_slice"))))
+        .withColumn("_higher", above(Window.partitionBy(*by).orderBy("_part")))
         .drop("_n")
     )
     ranks = (
-        values.withColumn("_within", above(Window.partitionBy(*by, "_slice").orderBy(F.desc(size))))
-        .join(slices, [*by, "_slice"])
+        parted.withColumn("_within", above(Window.partitionBy(*by, "_part").orderBy(F.desc(size))))
+        .join(parts, [*by, "_part"])
         .select(*by, size, (F.col("_higher") + F.col("_within") + 1).alias(name))
     )
     return df.join(ranks, [*by, size])

@@ -70,3 +70,17 @@ def test_flood_of_equal_changes(tight):
     ).withColumn("v", F.abs("v"))
     rows, plan = final_plan(ranking.rank_all(df, ["g"], "v"))
     assert rows == 60_000 and "skew=true" in plan
+
+
+def test_one_group_of_sizes_with_equal_leading_digits_spreads(spark):
+    from tallywright.operators.ranking import PARTS, parts_of
+
+    n = 200_000
+    df = spark.range(n).select(
+        F.lit("g").alias("g"), F.col("id"), (F.lit(123_400_000_000) + F.col("id")).cast("decimal(18,2)").alias("v")
+    )
+    ranked = ranking.rank_all(df, ["g"], "v")
+    assert ranked.where(F.col("rank") != F.lit(n) - F.col("id")).count() == 0
+    sizes = parts_of(df.groupBy("g", "v").count().withColumnRenamed("count", "_n"), ["g"], "v").groupBy("_part").count()
+    counts = [r["count"] for r in sizes.collect()]
+    assert len(counts) == PARTS and max(counts) <= 3 * n // PARTS
