@@ -1,10 +1,13 @@
 """Phrases of two to four words that occur together far more often than their parts, per language.
 
-The growth: words and their counts first, then phrases of 2, 3 and 4 words, each counted by an
-aggregation that combines on the map side, so a very frequent word or phrase costs one partial
-row per task. A phrase can only be a candidate (``a >= LEAST``) if every part of it is one too:
-the count of a part is an admissible bound on the count of a phrase that holds it, so the lookups
-of ``l`` and ``r`` need only the frequent table, never all phrases.
+The growth: words and their counts first, then phrases of 2, 3 and 4 words, each length counted
+by an aggregation that combines on the map side, so a very frequent word or phrase costs one
+partial row per task. A phrase can only be a candidate (``a >= LEAST``) if both its parts of one
+word less are: the count of a part is an admissible bound on the count of a phrase that holds
+it. So a length counts only phrases whose two parts are in a Bloom filter of the frequent
+phrases one word shorter; the filter has a fixed size, built by the tasks and ORed by Spark.
+Its false positives are counted too and fall out at ``LEAST``; nothing frequent is left out.
+The lookups of ``l`` and ``r`` need only the frequent tables, never all phrases.
 
 The score of a candidate is that of its weakest cut: cutting after the first ``k`` words gives
 ``l`` and ``r``, the counts of both parts, and ``floor(2000000 * a / (l + r))``, worked out in
@@ -28,9 +31,15 @@ Defined results for odd input:
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.llm.common import stored
+
 # Fixed values of the contract.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -40,11 +49,19 @@ WORD_GAP = "[\\x20\\x09]+"
 #: ``NESTED`` (as a fraction 4/5: 100 f >= 80 a) as frequent drop a shorter one.
 LEAST, LONGEST, TOP = 30, 4, 2000
 UNKNOWN_LANG = "und"
+#: Bits and hash functions of the Bloom filter of frequent phrases of one length. Its size is
+#: fixed, so what goes to the tasks is bounded; a fuller filter only lets more phrases be counted.
+FILTER_BITS, FILTER_HASHES = 1 << 21, 3  # three 21-bit slices of one 64-bit hash
 
 
 def words_of(documents: DataFrame) -> DataFrame:
-    """(``lang``, ``w``): the words of each piece of each document, as an array."""
-    text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
+    """(``lang``, ``w``): the words of each piece of each document, as an array.
+
+    Texts of ASCII alone take Spark's ``lower``, the same there and much faster than
+    ``translate``, which the others take and which leaves all but A-Z alone.
+    """
+    raw = F.coalesce(F.col("text"), F.lit(""))
+    text = F.when(F.octet_length(raw) == F.length(raw), F.lower(raw)).otherwise(F.translate(raw, UPPER, LOWER))
     pieces = documents.select(
         F.coalesce(F.col("lang"), F.lit(UNKNOWN_LANG)).alias("lang"), F.explode(F.split(text, PIECE_END, -1)).alias("piece")
     )
@@ -52,21 +69,80 @@ def words_of(documents: DataFrame) -> DataFrame:
     return pieces.select("lang", words.alias("w")).where(F.size("w") > 0)
 
 
-def _grams(words: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(0), F.size(words) - n)
-    joined = F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("g")))
-    return F.when(F.size(words) >= n, joined).otherwise(F.array())
+def _joined(words: Column, start: Column, n: int) -> Column:
+    return F.array_join(F.slice(words, start + 1, n), " ")
+
 
+def _bit_positions(lang: Column, words: Column) -> list[Column]:
+    """``FILTER_HASHES`` positions of a phrase (an array of words) in the filter: slices of one
+    64-bit hash, so no phrase is joined into a string to be looked up."""
+    h = F.xxhash64(lang, words)
+    return [F.shiftright(h, 21 * i).bitwiseAND(F.lit(FILTER_BITS - 1)) for i in range(FILTER_HASHES)]
 
-def counts(documents: DataFrame) -> DataFrame:
-    """(``lang``, ``n``, ``g``, ``f``): every phrase of 1 to ``LONGEST`` words and its count."""
-    words = words_of(documents)
-    grams = F.flatten(F.array(*(_grams(F.col("w"), n) for n in range(1, LONGEST + 1))))
-    return (
-        words.select("lang", F.inline(grams))
-        .groupBy("lang", "n", "g")
-        .agg(F.count("*").alias("f"))
+
+def bloom_filter(frequent: DataFrame) -> Column:
+    """The filter of (``lang``, ``g``) of ``frequent``: ``FILTER_BITS / 64`` longs, as one literal.
+
+    Tasks set the bits, Spark ORs them per long; at most ``FILTER_BITS / 64`` rows reach the
+    driver, whatever the number of phrases.
+    """
+    words = F.split(F.col("g"), " ")
+    spots = frequent.select(F.explode(F.array(*_bit_positions(F.col("lang"), words))).alias("p"))
+    longs = spots.select(
+        F.call_function("shiftright", F.col("p"), F.lit(6)).cast("int").alias("i"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int")).alias("b"),
     )
+    bits = [0] * (FILTER_BITS // 64)
+    for row in longs.groupBy("i").agg(F.bit_or("b").alias("b")).collect():
+        bits[row["i"]] = row["b"]
+    # One string literal, folded into one array literal when the plan is optimised.
+    return F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
+
+
+def _might_hold(bits: Column, lang: Column, words: Column) -> Column:
+    held = [
+        F.call_function(
+            "shiftright",
+            F.element_at(bits, F.call_function("shiftright", p, F.lit(6)).cast("int") + 1),
+            p.bitwiseAND(F.lit(63)).cast("int"),
+        ).bitwiseAND(F.lit(1).cast("long"))
+        == 1
+        for p in _bit_positions(lang, words)
+    ]
+    return reduce(and_, held)
+
+
+def level(words: DataFrame, n: int, shorter: Column | None) -> DataFrame:
+    """(``lang``, ``n``, ``g``, ``f``) of phrases of ``n`` words whose two parts of ``n - 1`` words
+    may be frequent (by the filter ``shorter``); every phrase for ``n = 1``."""
+    if n == 1:
+        grams = words.select("lang", F.explode("w").alias("g"))
+    else:
+        starts = words.where(F.size("w") >= n).select(
+            "lang", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i")
+        )
+        first, last = F.slice("w", F.col("i") + 1, n - 1), F.slice("w", F.col("i") + 2, n - 1)
+        kept = starts.where(_might_hold(shorter, F.col("lang"), first) & _might_hold(shorter, F.col("lang"), last))
+        grams = kept.select("lang", _joined(F.col("w"), F.col("i"), n).alias("g"))
+    return grams.groupBy("lang", "g").agg(F.count("*").alias("f")).select("lang", F.lit(n).alias("n"), "g", "f")
+
+
+def frequent_counts(documents: DataFrame) -> DataFrame:
+    """(``lang``, ``n``, ``g``, ``f``) of phrases with ``f >= LEAST``, and per language one row
+    ``n = 0`` whose ``f`` counts all words.
+
+    Words are split once and written; each length is counted from them, only for phrases whose
+    parts passed the filter of the length before (a part is at least as frequent as the phrase,
+    so no frequent phrase is left out), and its frequent phrases are written.
+    """
+    words = stored(words_of(documents), "phrase-words")
+    single = stored(level(words, 1, None), "phrase-words-counted")
+    totals = single.groupBy("lang").agg(F.sum("f").alias("f"))
+    found = [stored(single.where(F.col("f") >= LEAST), "phrase-counts-1")]
+    for n in range(2, LONGEST + 1):
+        found.append(stored(level(words, n, bloom_filter(found[-1])).where(F.col("f") >= LEAST), f"phrase-counts-{n}"))
+    per_lang = totals.select("lang", F.lit(0).alias("n"), F.lit(None).cast("string").alias("g"), "f")
+    return reduce(DataFrame.unionByName, found, per_lang)
 
 
 def _part(words: Column, start: int, length: Column | int) -> Column:
@@ -107,8 +183,9 @@ def nested(counted: DataFrame) -> DataFrame:
 
 def collocations(documents: DataFrame, top: int = TOP) -> DataFrame:
     """Each language's first ``top`` phrases: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``, ``k``."""
-    counted = counts(documents)
-    totals = counted.where(F.col("n") == 1).groupBy("lang").agg(F.sum("f").alias("n_words"))
+    counted = frequent_counts(documents)
+    totals = counted.where(F.col("n") == 0).select("lang", F.col("f").alias("n_words"))
+    counted = counted.where(F.col("n") > 0)
     kept = scored(counted).join(nested(counted), ["lang", "phrase"], "left").where(
         F.col("outer").isNull() | (F.col("outer") * 5 < F.col("a") * 4)
     )
