@@ -1,4 +1,10 @@
-"""Month reports: net movement and month-end balance."""
+"""Month reports: net movement and month-end balance.
+
+Reports show the twelve months of the fiscal year at least. Ledgers that post year-end
+adjustments to closing periods after the twelfth (13 to 16 in most fiscal calendars) get a
+column for each such period that holds postings, so that the last column still rolls forward
+to the closing balance.
+"""
 
 from __future__ import annotations
 
@@ -10,17 +16,39 @@ from tallywright.schema import ACCOUNT
 from tallywright.settings import CURRENT, MONTHS
 
 MONTH_COLUMNS = [f"m{month:02d}" for month in MONTHS]
+#: Closing periods that may follow the twelve months (fixed values of the fiscal calendar).
+CLOSING_PERIODS = (13, 14, 15, 16)
+
+
+def column_of(period: int) -> str:
+    return f"m{period:02d}"
+
+
+def ledger_periods(monthly: DataFrame) -> tuple[int, ...]:
+    """The twelve months and the closing periods that hold postings of the current year.
+
+    One aggregate over ``fiscal_month``; its set can hold only the four closing periods, so
+    the driver receives at most four numbers however large the ledger. Periods outside 1 to 16
+    are not columns; ``totals.left_out_lines`` counts them.
+    """
+    closing = F.col("fiscal_month").between(CLOSING_PERIODS[0], CLOSING_PERIODS[-1])
+    found = (
+        monthly.filter((F.col("year_label") == CURRENT) & closing)
+        .agg(F.array_sort(F.collect_set("fiscal_month")).alias("periods"))
+        .first()
+    )
+    return (*MONTHS, *(found["periods"] if found and found["periods"] else ()))
 
 
-def net_movement(monthly: DataFrame) -> DataFrame:
-    """Net movement of the current year per account, months as columns, 0 where none."""
+def net_movement(monthly: DataFrame, periods: tuple[int, ...] = MONTHS) -> DataFrame:
+    """Net movement of the current year per account, ``periods`` as columns, 0 where none."""
     return (
         monthly.filter(F.col("year_label") == CURRENT)
         .groupBy(*ACCOUNT)
         .agg(
             *(
-                F.expr(f"coalesce(sum(amount) FILTER (WHERE fiscal_month = {m}), 0) AS {name}")
-                for m, name in zip(MONTHS, MONTH_COLUMNS)
+                F.expr(f"coalesce(sum(amount) FILTER (WHERE fiscal_month = {m}), 0) AS {column_of(m)}")
+                for m in periods
             )
         )
     )
@@ -31,22 +59,24 @@ def opening_balance() -> Column:
     return F.when(F.col("bs_pl") == "BS", F.col("py")).otherwise(F.lit(0))
 
 
-def join_trial_balance(monthly: DataFrame, tb: DataFrame) -> DataFrame:
+def join_trial_balance(monthly: DataFrame, tb: DataFrame, periods: tuple[int, ...] = MONTHS) -> DataFrame:
     """Movements and trial balance side by side; accounts of either side are kept."""
-    return net_movement(monthly).join(tb, ACCOUNT, "full_outer")
+    return net_movement(monthly, periods).join(tb, ACCOUNT, "full_outer")
 
 
-def balance_report(monthly: DataFrame, tb: DataFrame) -> DataFrame:
-    """Month-end balances: opening plus movements so far.
+def balance_report(monthly: DataFrame, tb: DataFrame, periods: tuple[int, ...] = MONTHS) -> DataFrame:
+    """Month-end balances: opening plus movements so far, one column per period of ``periods``.
 
-    ``roll_diff`` is the closing balance less the last month and should be 0.
+    ``roll_diff`` is the closing balance less the last period and should be 0; with the twelve
+    months alone it is the sum of what the ledger posted to closing periods.
     """
-    joined = join_trial_balance(monthly, tb).withColumn(
+    joined = join_trial_balance(monthly, tb, periods).withColumn(
         "py", F.coalesce(opening_balance(), F.lit(0))
     )
+    columns = [column_of(m) for m in periods]
     running = {
-        name: " + ".join(["py", *(f"coalesce({m}, 0)" for m in MONTH_COLUMNS[: i + 1])])
-        for i, name in enumerate(MONTH_COLUMNS)
+        name: " + ".join(["py", *(f"coalesce({m}, 0)" for m in columns[: i + 1])])
+        for i, name in enumerate(columns)
     }
     kept = [c for c in tb.columns if c not in {*ACCOUNT, "cy", "py"}]
     return joined.selectExpr(
@@ -55,10 +85,15 @@ def balance_report(monthly: DataFrame, tb: DataFrame) -> DataFrame:
         "py",
         *(f"{total} AS {name}" for name, total in running.items()),
         "cy",
-        f"cy - ({running[MONTH_COLUMNS[-1]]}) AS roll_diff",
+        f"cy - ({running[columns[-1]]}) AS roll_diff",
     )
 
 
+def period_balance_report(monthly: DataFrame, tb: DataFrame) -> DataFrame:
+    """:func:`balance_report` over the periods of the ledger itself (:func:`ledger_periods`)."""
+    return balance_report(monthly, tb, ledger_periods(monthly))
+
+
 def running_balance(monthly: DataFrame, tb: DataFrame) -> DataFrame:
     """The same balances in long form, for the months in which an account moved.
 

@@ -44,10 +44,13 @@ def account_year_pivot(gl: DataFrame) -> DataFrame:
     )
 
 
-def monthly_totals(gl: DataFrame) -> DataFrame:
-    """One row per account, fiscal month and year (current and prior)."""
+def monthly_totals(gl: DataFrame, last_period: int = 12) -> DataFrame:
+    """One row per account, fiscal period and year (current and prior).
+
+    Periods run from 1 to ``last_period``: the twelve months, or 16 to keep closing periods.
+    """
     return (
-        gl.filter(F.col("year_label").isin(*YEARS) & F.col("fiscal_month").between(1, 12))
+        gl.filter(F.col("year_label").isin(*YEARS) & F.col("fiscal_month").between(1, last_period))
         .groupBy(*ACCOUNT, "fiscal_month", "year_label")
         .agg(total_or_zero(F.col("amount")).alias("amount"))
     )

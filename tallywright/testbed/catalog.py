@@ -1100,6 +1100,39 @@ def _(spark, sf):
     return months.balance_report(movements, scoping.scope(tb, SETTINGS))
 
 
+_CLOSING = range(1, 17)
+_CLOSING_PERIOD = "CASE WHEN fiscal_month = 12 AND amount < 0 THEN 13 + (line_no - 1) % 4 ELSE fiscal_month END"
+_CLOSING_RUNNING = ", ".join(
+    "CASE WHEN bs_pl = 'BS' THEN py ELSE 0 END"
+    + "".join(f" + coalesce(m{k:02d}, 0)" for k in range(1, m + 1))
+    + f" AS b{m:02d}"
+    for m in _CLOSING
+)
+
+
+@register(
+    "special_periods", "A6 V11 W7",
+    f"{KEY} " + " ".join(f"m{m:02d}:d" for m in _CLOSING)
+    + " account_key t1 t2 t3 t4 control_reliance risk_level change_amount:d "
+    "change_ratio:d6 threshold:d in_scope py:d cy:d roll_diff:d",
+    "SELECT * EXCLUDE (py, " + ", ".join(f"m{m:02d}" for m in _CLOSING) + "), "
+    + ", ".join(f"b{m:02d} AS m{m:02d}" for m in _CLOSING)
+    + f""", CASE WHEN bs_pl = 'BS' THEN py ELSE 0 END AS py, cy - b16 AS roll_diff
+    FROM (SELECT *, {_CLOSING_RUNNING}
+          FROM (SELECT account_code, account_name, """
+    + ", ".join(f"sum(CASE WHEN period = {m} THEN amount ELSE 0 END) AS m{m:02d}" for m in _CLOSING)
+    + f"""
+                FROM (SELECT account_code, account_name, amount, {_CLOSING_PERIOD} AS period
+                      FROM gl WHERE year_label = 'CY')
+                GROUP BY account_code, account_name) AS periods
+          FULL JOIN scoped USING (account_code, account_name))""",
+)
+def _(spark, sf):
+    movements = totals.monthly_totals(commerce.closing_ledger(spark, sf), last_period=16)
+    tb = scoping.comparative_columns(commerce.trial_balance(spark, sf))
+    return months.period_balance_report(movements, scoping.scope(tb, SETTINGS))
+
+
 def _review(spark, sf, settings=SETTINGS):
     return review(commerce.ledger(spark, sf), commerce.trial_balance(spark, sf), settings)
 

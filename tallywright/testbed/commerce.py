@@ -84,6 +84,23 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(lines, account_dimension(spark, sf_dir), label)
 
 
+def closing_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`ledger` with year-end adjustments posted to closing periods.
+
+    Returned lines shipped in December are adjustments of the year's close; they go to the
+    periods 13 to 16 by their line number (1 and 5 to 13, 2 and 6 to 14, ...). All other lines
+    keep the month of their date.
+    """
+    gl = ledger(spark, sf_dir)
+    adjusted = (F.col("fiscal_month") == 12) & (F.col("amount") < 0)
+    return gl.withColumn(
+        "fiscal_month",
+        F.when(adjusted, (F.lit(13) + F.pmod(F.col("line_no") - 1, F.lit(4))).cast("int")).otherwise(
+            F.col("fiscal_month")
+        ),
+    )
+
+
 def split_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings of the two years with debit and credit columns."""
     return split_amount(ledger(spark, sf_dir))

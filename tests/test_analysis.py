@@ -255,6 +255,36 @@ def test_balance_report_rolls_forward(spark):
     ]
 
 
+def test_closing_periods_become_columns_when_posted(spark):
+    gl = ledger(spark, [("a", "CY", 2, "p", 5), ("a", "CY", 13, "p", -4), ("a", "CY", 15, "p", 2),
+                        ("a", "PY", 14, "p", 9), ("b", "CY", 17, "p", 6), ("b", "CY", None, "p", 1)])
+    tb = trial_balance(spark, [("a", "PL", 3, 0, 0, 0, "T", "T"), ("b", "PL", 0, 0, 0, 0, "T", "T")])
+    tb = scoping.scope(scoping.comparative_columns(tb), SETTINGS)
+    monthly = totals.monthly_totals(gl, last_period=16)
+    # 14 holds postings of the prior year only, 17 is no period: neither is a column.
+    assert months.ledger_periods(monthly) == (*range(1, 13), 13, 15)
+    report = months.period_balance_report(monthly, tb)
+    assert [c for c in report.columns if c.startswith("m")] == [f"m{m:02d}" for m in (*range(1, 13), 13, 15)]
+    assert records(report, "account_code", "m12", "m13", "m15", "cy", "roll_diff") == [
+        ("a", 5.0, 1.0, 3.0, 3.0, 0.0), ("b", 0.0, 0.0, 0.0, 0.0, 0.0),
+    ]
+    # The twelve months alone leave the closing postings out of the roll-forward.
+    twelve = months.balance_report(monthly, tb)
+    assert records(twelve.where("account_code = 'a'"), "m12", "roll_diff") == [(5.0, -2.0)]
+    left = records(totals.left_out_lines(gl), "reason", "line_count", "amount")
+    assert left == [("no month", 1, 1.0), ("other month", 4, 13.0)]
+
+
+def test_ledger_without_closing_postings_has_twelve_months(spark):
+    gl, tb = balances_and_ledger(spark)
+    monthly = totals.monthly_totals(gl, last_period=16)
+    assert months.ledger_periods(monthly) == tuple(range(1, 13))
+    assert months.period_balance_report(monthly, tb).columns == months.balance_report(monthly, tb).columns
+    empty = monthly.limit(0)
+    assert months.ledger_periods(empty) == tuple(range(1, 13))
+    assert months.period_balance_report(empty, tb).count() == 3
+
+
 def test_running_balance_in_long_form(spark):
     gl, tb = balances_and_ledger(spark)
     long = months.running_balance(totals.monthly_totals(gl), tb)
