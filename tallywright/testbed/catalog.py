@@ -31,7 +31,7 @@ from tallywright.operators import (
 )
 from tallywright.operators.mapping import KEYIN, MAP, MapRule
 from tallywright.plans import prepare, publish, reconciliation
-from tallywright.plans.review import review
+from tallywright.plans.review import review, review_levels
 from tallywright.schema import BALANCES, MONEY
 from tallywright.session import shared_path, write_through
 from tallywright.settings import FS_LINE
@@ -1209,6 +1209,17 @@ def _(spark, sf):
     return _review(spark, sf, FS_SETTINGS).lead
 
 
+@register(
+    "review_levels", "V14 V13",
+    f"level {LEAD}",
+    f"""SELECT 'detail' AS level, * FROM ({_lead_sql("", "detail")})
+    UNION ALL SELECT 'fs_line' AS level, * FROM ({_lead_sql("fs", "fs_line")})""",
+)
+def _(spark, sf):
+    detail, lines = review_levels(commerce.ledger(spark, sf), commerce.trial_balance(spark, sf), SETTINGS)
+    return detail.lead.withColumn("level", F.lit("detail")).unionByName(lines.lead.withColumn("level", F.lit("fs_line")))
+
+
 # ---------------------------------------------------------------- whole preparation
 
 
