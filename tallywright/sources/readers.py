@@ -337,6 +337,84 @@ def read_titled_text(
     return df.filter(~is_heading)
 
 
+def _without_headings(columns: Sequence[str], options: TextOptions):
+    """Arrow step that drops the first line each task reads of a file's first split.
+
+    A file's first split is read by one task, its lines in order, so the first of them that a
+    task meets is the line below the title. That line must be the heading, or the task fails
+    naming the file. Only these lines pass through Python one by one; the others are kept by a
+    vectorised mask.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    expected = tuple(c.strip() for c in columns)
+
+    def step(batches):
+        last: tuple = (None, None)
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            files, starts = batch.column(FILE), batch.column("_start")
+            first_split = pc.equal(starts, 0)
+            # A row begins a run when its file or split differs from the row before it.
+            previous_file = pa.concat_arrays([pa.array([last[0]], files.type), files.slice(0, n - 1)])
+            previous_start = pa.concat_arrays([pa.array([last[1]], starts.type), starts.slice(0, n - 1)])
+            begins = pc.or_(
+                pc.fill_null(pc.not_equal(files, previous_file), True),
+                pc.fill_null(pc.not_equal(starts, previous_start), True),
+            )
+            heading = pc.and_(first_split, begins)
+            for i in pc.indices_nonzero(heading).to_pylist():
+                line = batch.column("_line")[i].as_py() or ""
+                found = tuple((f or "").strip() for f in heading_fields(line, options))
+                if found != expected:
+                    raise ValueError(
+                        f"no heading {list(columns)} below the title of {files[i].as_py()}: {line!r}"
+                    )
+            last = (files[n - 1].as_py(), starts[n - 1].as_py())
+            yield batch.filter(pc.invert(heading)).select(["_line", FILE])
+
+    return step
+
+
+def read_titled_lines(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    columns: Sequence[str],
+    options: TextOptions = TextOptions(),
+) -> DataFrame:
+    """Delimited files with a title line above the heading, in one reading pass.
+
+    The title is the first line of a file and the heading the second, by place: Spark drops the
+    title in the task that reads the file's first split, and that task drops the line after it
+    if its fields are ``columns`` (blanks around them aside), and else fails, naming the file,
+    when the lines are read, not while the plan is built. A data line that equals the heading
+    stays. A file with nothing below its title gives no rows. Lines that do not fit the
+    heading are refused or set aside as ``options.bad_lines`` says. Records over several lines
+    (``options.multiline``) are not read by place; :func:`read_titled_text` reads them.
+    """
+    if options.multiline:
+        raise ValueError("records over several lines cannot be placed; use read_titled_text")
+    lines = _whole_lines(spark, path, options, header=True).select("_line", FILE, "_start")
+    kept = lines.mapInArrow(_without_headings(columns, options), f"_line string, `{FILE}` string")
+    csv_options = {
+        "sep": options.sep,
+        "quote": '"' if options.quoting else "",
+        "escape": '"' if options.quoting else "\\",
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": BAD_LINE,
+    }
+    names = [c.strip() for c in columns]
+    ddl = ", ".join(f"c{p} STRING" for p in range(len(names))) + f", `{BAD_LINE}` STRING"
+    record = kept.select(F.from_csv(F.col("_line"), ddl, csv_options).alias("_r"))
+    parsed = record.select(
+        *(F.col(f"_r.c{p}").alias(name) for p, name in enumerate(names)), F.col(f"_r.{BAD_LINE}").alias(BAD_LINE)
+    )
+    return fitting_lines(parsed, options)
+
+
 def read_parquet(
     spark: SparkSession,
     path: str | Sequence[str],

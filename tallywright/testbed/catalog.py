@@ -278,7 +278,22 @@ def _(spark, sf):
     "SELECT o_orderkey AS code, o_orderpriority AS priority FROM orders",
 )
 def _(spark, sf):
-    # Each file: a title, a heading with blanks around its names, then lines.
+    options = readers.TextOptions(sep="|", quoting=False)
+    return readers.read_titled_text(spark, _titled_orders(spark, sf), ["code", "priority"], options)
+
+
+@register(
+    "titled_lines", "S10",
+    "code:i priority",
+    "SELECT o_orderkey AS code, o_orderpriority AS priority FROM orders",
+)
+def _(spark, sf):
+    options = readers.TextOptions(sep="|", quoting=False)
+    return readers.read_titled_lines(spark, _titled_orders(spark, sf), ["code", "priority"], options)
+
+
+def _titled_orders(spark, sf) -> str:
+    """Orders in four files: a title, a heading with blanks around its names, then lines."""
     folder, orders = _folder(spark), commerce.table(spark, sf, "orders")
     lines = orders.select(
         F.struct(F.pmod("o_orderkey", F.lit(4)).alias("file"), F.lit(1).alias("place")).alias("at"),
@@ -296,8 +311,7 @@ def _(spark, sf):
         .write.partitionBy("file").option("header", True).option("sep", "\u0001")
         .option("quote", "").csv(folder)
     )
-    options = readers.TextOptions(sep="|", quoting=False)
-    return readers.read_titled_text(spark, f"{folder}/file=*/*.csv", ["code", "priority"], options)
+    return f"{folder}/file=*/*.csv"
 
 
 @register(

@@ -87,6 +87,37 @@ def test_title_line_above_the_heading(spark, tmp_path):
     assert records(df) == [("1", "x"), ("2", "x")]
 
 
+def test_title_and_heading_by_place_in_one_pass(spark, tmp_path):
+    put(tmp_path / "p", "1.csv", "Report 1,\n code , name\n1,x\ncode,name\n")
+    put(tmp_path / "p", "2.csv", "Report 2,\ncode,name\n2,y\n")
+    put(tmp_path / "p", "3.csv", "Only a title,\n")
+    df = readers.read_titled_lines(spark, str(tmp_path / "p"), ["code", "name"], TextOptions(sep=","))
+    # A data line that equals the heading stays; a file with nothing below its title adds nothing.
+    assert records(df) == [("1", "x"), ("2", "y"), ("code", "name")]
+    put(tmp_path / "q", "4.csv", "Report 4,\ncode,other\n4,z\n")
+    late = readers.read_titled_lines(spark, str(tmp_path / "q"), ["code", "name"], TextOptions(sep=","))
+    with pytest.raises(Exception, match="4.csv"):
+        late.collect()
+    wide = put(tmp_path / "r", "5.csv", "Report 5,\ncode,name\n5,x,extra\n6,y\n")
+    aside = readers.read_titled_lines(spark, str(tmp_path / "r"), ["code", "name"], TextOptions(sep=",", bad_lines="set_aside"))
+    assert records(aside) == [("6", "y")]
+    with pytest.raises(Exception, match="too many or too few"):
+        readers.read_titled_lines(spark, str(tmp_path / "r"), ["code", "name"], TextOptions(sep=",")).collect()
+
+
+def test_titled_lines_of_a_file_over_many_splits(spark, tmp_path):
+    body = "".join(f"{i},n{i}\n" for i in range(40000))
+    put(tmp_path / "big", "1.csv", "Title,\ncode,name\n" + body + "code,name\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = readers.read_titled_lines(spark, str(tmp_path / "big"), ["code", "name"], TextOptions(sep=","))
+        assert df.rdd.getNumPartitions() > 4
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 40001 and sorted(int(r.code) for r in rows if r.code != "code") == list(range(40000))
+
+
 def test_parquet_globs_and_differing_columns(spark, tmp_path):
     spark.range(2).write.parquet(str(tmp_path / "p" / "one"))
     spark.range(1).withColumn("more", F.lit("m")).write.parquet(str(tmp_path / "p" / "two"))
