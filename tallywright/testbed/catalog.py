@@ -35,7 +35,7 @@ from tallywright.plans.review import review, review_levels
 from tallywright.schema import BALANCES, MONEY
 from tallywright.session import shared_path, write_through
 from tallywright.settings import FS_LINE
-from tallywright.sources import readers, writers
+from tallywright.sources import readers, tables, writers
 from tallywright.streaming.intake import append_new_files, append_rejected_lines, checked_lines, intake_checked
 from tallywright.testbed import commerce
 from tallywright.testbed.commerce import SETTINGS
@@ -382,6 +382,16 @@ def _(spark, sf):
     return readers.read_parquet(spark, few)
 
 
+@register("compacted_in_place", "S4", "o_orderkey:i o_custkey:i o_orderstatus",
+          "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def _(spark, sf):
+    folder = _folder(spark)
+    orders = commerce.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    writers.write_parquet(orders, folder, files=12)
+    tables.compact_in_place(spark, folder)
+    return tables.read_table(spark, folder)
+
+
 @register("stored_ledger_month", "S4 S3", LINE,
           "SELECT * FROM gl WHERE year_label = 'CY' AND fiscal_month = 5")
 def _(spark, sf):
