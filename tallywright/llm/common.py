@@ -36,17 +36,29 @@ def ready(spark: SparkSession) -> SparkSession:
     """Set what the operators expect of a session and return it.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``. Only where nothing is
-    named, as in a test on one machine, a new temporary folder takes its place.
+    named and the master is one process on one machine (``local``, ``local[n]``), as in a
+    test, a new temporary folder takes its place; on any other master that is an error, as
+    executors there do not see the driver's disk.
     """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     if not spark.conf.get("spark.checkpoint.dir", None):
+        master = spark.sparkContext.master
+        if not one_machine(master):
+            raise ValueError(
+                f"master {master!r} needs a folder that all executors share in spark.checkpoint.dir"
+            )
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checkpoint-"))
     return spark
 
 
+def one_machine(master: str) -> bool:
+    """Whether driver and executors are one process: ``local`` or ``local[n]``, not ``local-cluster``."""
+    return master == "local" or (master.startswith("local[") and master.endswith("]"))
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
     """A path under the cluster's shared folder that nothing has used yet."""
     base = ready(spark).conf.get("spark.checkpoint.dir").rstrip("/")

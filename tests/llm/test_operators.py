@@ -657,3 +657,11 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 201)]
     got = dict(rows(components(spark.createDataFrame(edges, "a long, b long"))))
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 160)) and got[201] == 200
+
+
+def test_a_local_folder_only_on_one_machine():
+    from tallywright.llm.common import one_machine
+
+    assert one_machine("local") and one_machine("local[8]") and one_machine("local[*]")
+    for master in ("local-cluster[3,2,3000]", "yarn", "spark://host:7077", "k8s://https://host"):
+        assert not one_machine(master)
