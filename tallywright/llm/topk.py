@@ -154,7 +154,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     nobody's, and vectors meet only queries of their own length. Repeated query rows are one
     query; rows of one id but other vectors are queries of their own. Scores beyond 64 bits count as the nearest 64-bit number. No rows give no rows.
 
-    Queries are taken in blocks of :data:`QUERY_BLOCK`, each sent to the tasks that score.
+    Queries are taken in blocks of about :data:`QUERY_BLOCK`, each sent to the tasks that score;
+    rows are dealt to blocks by id and vector, so that many rows of one id spread over blocks.
     """
     spark = ready(vectors.sparkSession)
     queries = stored(
@@ -166,7 +167,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         blocks = -(-count // QUERY_BLOCK)
         mine = queries.where(F.size("v") == width)
         for block in range(blocks):
-            own = mine.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block) if blocks > 1 else mine
+            own = mine.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == block) if blocks > 1 else mine
             part = _block(vectors, own, k)
             if part is not None:
                 part = stored(part, "top-k")

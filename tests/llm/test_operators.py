@@ -395,6 +395,22 @@ def test_top_k(spark, scale):
         assert sum(got.values()) == sum(want.values())  # scores beyond 64 bits are clipped
 
 
+def test_top_k_in_small_blocks_with_many_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    random = np.random.default_rng(5)
+    vectors = [(int(i), [float(x) for x in random.normal(0, 1, 4)]) for i in range(120)]
+    vectors += [(50, [float(x) for x in random.normal(0, 1, 4)]) for _ in range(7)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    ints = topk.integer_vectors(frame)
+    got = Counter(rows(topk.top_k(ints, ints.where("vec_id % 50 = 0"), 3)))
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors]
+    want = Counter()
+    for q, v in {(q, tuple(v)) for q, v in usable if q % 50 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in usable if i != q)[:3]
+        want.update((q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1))
+    assert got == want and sum(got.values()) == 3 * (3 + 7)
+
+
 def test_top_k_of_nothing(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     ints = topk.integer_vectors(frame)
