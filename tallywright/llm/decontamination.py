@@ -153,6 +153,10 @@ def _verified(texts: DataFrame, own: DataFrame, candidates: DataFrame, width: in
 
 
 def clean(documents: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
-    """``documents`` without those that contain an item. Rows without an id stay."""
+    """``documents`` without those that contain an item. Rows without an id stay.
+
+    A document is its ``doc_id``: where several rows share an id, all of them go when the text
+    of one of them contains an item, also rows whose own text holds none.
+    """
     found = contained(documents, items, width, share).select("doc_id").distinct()
     return documents.join(found, "doc_id", "left_anti").select(documents.columns)
