@@ -7,7 +7,9 @@ of a document sum to 1, and the weighted vector is scored by logistic regression
 of documents are known, so training finds by itself which passages matter.
 
 Training uses at most ``SAMPLE`` labelled documents, those with the lowest hashes of their ids,
-and at most ``BAG`` passages of each; scoring reads every passage of every document.
+and of these the first whose passages together stay within ``SAMPLE_PASSAGES`` (the first one
+always). Every passage of a chosen document is learnt from, and scoring reads every passage of
+every document. Both bounds are on whole labelled rows, so that the driver's memory is bounded.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from tallywright.llm.common import binary_texts, bucket_of, ready
 #: Bytes of a passage, and of the hashed encoding.
 PASSAGE = 600
 BUCKETS = 256
-#: Bounds of training: labelled documents, and passages of each.
+#: Bounds of training: labelled documents, and the passages of all of them together.
 SAMPLE = 6000
-BAG = 12
+SAMPLE_PASSAGES = 100_000
 HIDDEN, ATTENTION = 32, 16
 EPOCHS, RATE, DECAY, GROUP = 30, 4e-3, 1e-4, 64
 
@@ -137,9 +139,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def bag(text: bytes) -> np.ndarray:
-    """Encodings of at most ``BAG`` passages, evenly spread over the text."""
-    x, _ = encode([text])
-    return x[np.linspace(0, len(x) - 1, min(BAG, len(x))).astype(int)]
+    """Encodings of all passages of the text."""
+    return encode([text])[0]
+
+
+def passages_of(text: Column) -> Column:
+    """Number of passages that :func:`encode` makes of a text: one at least."""
+    return F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / PASSAGE)).cast("long")
+
+
+def within(counts: list[int], budget: int) -> int:
+    """How many of the first rows fit ``budget`` passages together; the first one always."""
+    total = 0
+    for taken, n in enumerate(counts):
+        total += n
+        if total > budget and taken > 0:
+            return taken
+    return len(counts)
 
 
 def train(bags: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, seed: int = 11) -> Attention:
@@ -177,7 +193,9 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, bound: int) -> list[tuple[np.ndarray, int]]:
-    """At most ``bound`` bags and labels of rows to learn from, lowest hashes of ids first.
+    """At most ``bound`` bags and labels of rows to learn from, lowest hashes of ids first, and of
+    these as many as fit ``SAMPLE_PASSAGES`` passages together (:func:`within`); a bag holds
+    every passage of its text.
 
     An id with several labels counts for each of them once, so that of contradicting ones none
     wins; ids and labels that are null, and labels but 0 and 1, do not count.
@@ -201,13 +219,21 @@ def labelled(documents: DataFrame, labels: DataFrame, bound: int) -> list[tuple[
                 names=["doc_id", "quality", "bag"],
             )
 
-    # At most ``bound`` rows of two numbers are sent to the tasks.
+    # At most ``bound`` rows of two numbers are sent to the tasks, and as many numbers of
+    # passages come back; the rows that fit the passage budget are then encoded.
+    candidates = texts.join(F.broadcast(known), "doc_id").select(
+        "doc_id", "quality", "text", passages_of(F.col("text")).alias("n")
+    )
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality"), F.col("n"), F.sha2(F.col("text"), 256)]
+    counts = [r["n"] for r in candidates.orderBy(*order).limit(bound).select("n").collect()]
+    taken = within(counts, SAMPLE_PASSAGES)
+    if not taken:
+        return []
     rows = (
-        texts.join(F.broadcast(known), "doc_id")
+        candidates.orderBy(*order)
+        .limit(taken)
         .select("doc_id", "quality", "text")
         .mapInArrow(work, "doc_id long, quality int, bag binary")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "bag")
-        .limit(bound)
         .collect()
     )
     shape = (-1, FEATURES)

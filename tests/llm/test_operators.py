@@ -509,6 +509,17 @@ def test_quality(spark, odd, nothing):
     assert rows(quality.keep_good(nothing, labels, 0.4)) == []
 
 
+def test_quality_learns_from_every_passage_of_whole_rows(spark):
+    long = b"a sentence of a long text. " * 400
+    assert len(quality.bag(long)) == -(-len(long) // quality.PASSAGE) and len(quality.bag(b"")) == 1
+    assert quality.within([5, 5, 5], 10) == 2 and quality.within([50, 1], 10) == 1
+    assert quality.within([], 10) == 0 and quality.within([3, 3], 100) == 2
+    from pyspark.sql import functions as F
+
+    n = spark.createDataFrame([(None,), ("",), ("x" * 601,)], "t string").select(quality.passages_of(F.col("t")))
+    assert [r[0] for r in n.collect()] == [1, 1, 2]
+
+
 # ------------------------------------------------------------------ op8
 
 
