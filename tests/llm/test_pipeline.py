@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_operators_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) <= set(entries.queries()) and "pipeline" in entries.queries()
 
 
