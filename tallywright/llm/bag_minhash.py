@@ -11,10 +11,11 @@ point is later than all registers of its document.
 
 Registers are banded. Bands are chosen so that a pair at the threshold is missed with a
 probability under 1e-9. Documents of equal words are one text. In a bucket every text meets the
-most central one, and in small buckets all meet all. In larger ones a few further pivots connect
-what is in large groups, and then all texts that are not connected meet each other by blocks of
-signatures. Pairs whose registers agree too rarely for the threshold are left out, and all
-others are verified by the exact overlap of their multisets.
+most central one, and in small buckets all meet all. Texts of larger buckets that this leaves in
+several components meet by the rarest shingles of each, as many as a linked text cannot all lack
+(prefix filtering), and only where the shingles that follow suffice for a link; texts of one
+component do not meet. Pairs whose registers agree too rarely for the threshold are left out, and
+all others are verified by the exact overlap of their multisets.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.common import mixed, ready, stored, stored_with_rows, unit
@@ -37,10 +38,10 @@ ROWS, BANDS = 3, 32
 REGISTERS = ROWS * BANDS
 #: Buckets up to this size are compared all with all.
 SMALL = 8
-#: Further pivots of larger buckets, before their texts meet all with all.
-PIVOTS = 4
-#: Texts in a block of a larger bucket.
+#: Texts in a part of a component, when parts of two components meet.
 BLOCK = 1024
+#: Size classes of texts in a factor of e.
+CLASSES = 16
 #: Pairs of texts up to which all are verified at once, and the shares of more in each wave.
 ONE_WAVE, WAVES = 100_000, (64, 8, 1)
 #: Register agreement below which a pair is not verified: four deviations under the threshold.
@@ -250,125 +251,138 @@ def first_pairs(members: DataFrame) -> DataFrame:
     return star.union(pairs).distinct()
 
 
-def further_pairs(members: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """In larger buckets: one more pivot out of what is not connected to those before.
+def mixed_texts(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``row, label, part`` of the texts of larger buckets that hold texts of two components.
 
-    ``labels`` are the components so far, and ``tried`` the components of the pivots of each
-    bucket so far (``key, label``). Returns ``key, a, b, label`` with the pivot's label.
+    ``part`` deals a large component into parts of about ``BLOCK`` texts.
     """
-    named = members.where(F.col("n") > SMALL).join(
+    named = members.where(F.col("n") > SMALL).select("key", "row").join(
         labels.withColumnRenamed("node", "row"), "row", "left"
     ).withColumn("label", F.coalesce("label", "row"))
-    left = named.join(tried, ["key", "label"], "left_anti")
-    most = F.max(F.struct("weight", (-F.col("row")).alias("row"), "label"))
-    pivot = left.groupBy("key").agg(most.alias("p"))
-    pivot = pivot.select("key", (-F.col("p.row")).alias("pivot"), F.col("p.label").alias("tried"))
-    return (
-        named.drop("pivot")
-        .join(pivot, "key")
-        .where(F.col("label") != F.col("tried"))
-        .select(
-            "key",
-            F.least("pivot", "row").alias("a"),
-            F.greatest("pivot", "row").alias("b"),
-            F.col("tried").alias("label"),
-        )
+    several = named.groupBy("key").agg((F.min("label") < F.max("label")).alias("several")).where("several")
+    texts = named.join(several, "key").select("row", "label").distinct()
+    parts = texts.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    return texts.join(parts, "label").select(
+        "row", "label", F.pmod(F.xxhash64("row"), F.col("parts")).alias("part")
     )
 
 
-def blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``key, low, high, block, band, row, label``: larger buckets in pairs of blocks.
+def shingle_tokens(texts: DataFrame) -> DataFrame:
+    """``row, label, part, n, tokens``: the ``n`` shingles of a text as a set.
 
-    Only buckets whose texts are not all connected, and in these only pairs of blocks that can
-    hold texts of two components: the largest component has blocks of its own (from ``few`` on),
-    which do not meet each other.
+    A token stands for a shingle and its how-manieth occurrence, so that shared tokens are the
+    overlap of the multisets. Equal hashes of different shingles only raise that.
     """
-    named = members.where(F.col("n") > SMALL).select("key", "band", "row").join(
-        labels.withColumnRenamed("node", "row"), "row", "left"
-    ).withColumn("label", F.coalesce("label", "row"))
-    sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
-    split = (
-        sizes.groupBy("key")
-        .agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("all"))
-        .where(F.col("all") > F.col("most.size"))
-        .select(
-            "key",
-            F.col("most.label").alias("main"),
-            F.ceil((F.col("all") - F.col("most.size")) / BLOCK).alias("few"),
-            F.ceil(F.col("most.size") / BLOCK).alias("many"),
-        )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = ShingleHashes()
+        for batch in batches:
+            tokens = []
+            for text in batch.column(3).to_pylist():
+                distinct, counts = np.unique(hasher.of(words_of(text)), return_counts=True)
+                nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                tokens.append(mixed(np.repeat(distinct, counts) + nth.astype(np.uint64) * _STEP).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(i) for i in range(3)),
+                    pa.array([len(x) for x in tokens], pa.int64()),
+                    pa.array(tokens, pa.list_(pa.int64())),
+                ],
+                names=["row", "label", "part", "n", "tokens"],
+            )
+
+    return texts.select("row", "label", "part", "text").mapInArrow(
+        work, "row long, label long, part long, n long, tokens array<long>"
     )
-    place, main = F.xxhash64("row"), F.col("label") == F.col("main")
-    dealt = named.join(split, "key").withColumn(
-        "block", F.when(main, F.col("few") + F.pmod(place, F.col("many"))).otherwise(F.pmod(place, F.col("few")))
+
+
+def prefixes(tokens: DataFrame, share: float) -> DataFrame:
+    """``token, row, label, part, n, reach``: the rarest tokens of each text.
+
+    Two texts of ``m`` and ``n`` tokens are linked if they share ``share / (1 + share) * (m + n)``.
+    All texts hold their tokens in one order: those that one component alone has, which no pair
+    to be found shares, then rarest first. Tokens shared by a pair do not come before its first
+    shared one, so if that is the text's i-th, at most ``n - i`` are shared (i from 0), and the
+    other text has at most ``reach`` tokens. A text is given with all tokens that
+    leave a reach of ``share * n``, the smallest size of a partner.
+    """
+    held = tokens.select("row", "label", F.explode("tokens").alias("token"))
+    common = (
+        held.groupBy("token")
+        .agg(F.count("*").alias("texts"), F.min("label").alias("low"), F.max("label").alias("high"))
+        .where("low < high")
+        .select("token", "texts")
+    )
+    kept = held.select("row", "token").join(common, "token").groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("texts", "token"))).alias("kept")
     )
-    last = F.when(main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return met.select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "band", "row", "label",
+    placed = tokens.drop("tokens").join(kept, "row").select(
+        "row", "label", "part", "n", (F.col("n") - F.size("kept")).alias("alone"), F.posexplode("kept").alias("i", "of")
+    )
+    reach = (1 + share) / share * (F.col("n") - F.col("alone") - F.col("i")) - F.col("n") + 0.001
+    return placed.select("of.token", "row", "label", "part", "n", reach.alias("reach")).where(
+        F.col("reach") >= share * F.col("n")
     )
 
 
-def agreements(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many registers agree, of each left with each right signature."""
-    out = np.zeros((len(left), len(right)), np.uint8)
-    for one, two in zip(np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)):
-        out += one[:, None] == two[None, :]
-    return out
+def size_class(n: Column) -> Column:
+    """Sizes in classes of a constant ratio."""
+    return F.floor(F.log(n) * CLASSES).cast("long")
 
 
-def unconnected_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """All pairs ``a, b`` of larger buckets that are not connected and agree often enough.
+def sides(held: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """Rows of :func:`prefixes` as the larger and as the smaller text of a pair.
 
-    A pair is given in its first shared band only. Where that is a small bucket, it has been
-    compared there.
+    They meet by token and ``size``, the class of the smaller one's size.
     """
+    most = F.least(F.col("n").cast("double"), F.col("reach"))
+    classes = F.sequence(size_class(F.greatest(share * F.col("n") - 0.001, F.lit(0.5))), size_class(most))
+    large = held.withColumn("size", F.explode(classes))
+    small = held.where(F.col("reach") >= F.col("n")).withColumn("size", size_class(F.col("n")))
+    return large, small
 
-    def pairs(group: list[tuple]) -> Iterator[pa.RecordBatch]:
-        low, high, block, band, row, label = (np.array(x, np.int64) for x in list(zip(*group))[1:7])
-        signs = np.frombuffer(b"".join(x[7] for x in group), "<u2").reshape(-1, REGISTERS)
-        left = np.flatnonzero(block == low)
-        right = np.flatnonzero(block == high)
-        for i in range(0, len(left), 256):
-            part = left[i : i + 256]
-            near = agreements(signs[part], signs[right]) >= AGREEMENT * REGISTERS
-            near &= label[part][:, None] != label[right][None, :]
-            if low[0] == high[0]:
-                near &= row[part][:, None] < row[right][None, :]
-            x, y = np.nonzero(near)
-            for j in range(0, len(x), 65536):
-                one, two = part[x[j : j + 65536]], right[y[j : j + 65536]]
-                same = (signs[one] == signs[two]).reshape(len(one), BANDS, ROWS).all(axis=2)
-                first = same.argmax(axis=1) == band[0]
-                a, b = row[one[first]], row[two[first]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())],
-                    names=["a", "b"],
-                )
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for entry in zip(*(column.to_pylist() for column in batch.columns)):
-                if held and held[0][:3] != entry[:3]:
-                    yield from pairs(held)
-                    held = []
-                held.append(entry)
-        if held:
-            yield from pairs(held)
+def meeting(large: DataFrame, small: DataFrame) -> DataFrame:
+    """Parts of two components that can hold a pair: ``token, size``, both labels and parts.
+
+    Every part is met as one row with its smallest size and longest reach, so texts of one
+    component are not compared with each other. ``most`` is the number of pairs of texts.
+    """
 
-    dealt = blocks(members, labels).join(texts.select("row", "signature"), "row")
-    dealt = dealt.select("key", "low", "high", "block", "band", "row", "label", "signature")
-    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(work, "a long, b long")
+    def parts(side: DataFrame, of: str) -> DataFrame:
+        return side.groupBy("token", "size", "label", "part").agg(
+            F.min("n").alias(f"{of}_n"), F.max("reach").alias(f"{of}_reach"), F.count("*").alias(f"{of}_texts")
+        ).withColumnsRenamed({"label": f"{of}_label", "part": f"{of}_part"})
+
+    both = parts(large, "large").join(parts(small, "small"), ["token", "size"])
+    apart = F.col("large_label") != F.col("small_label")
+    within = (F.col("small_n") <= F.col("large_reach")) & (F.col("large_n") <= F.col("small_reach"))
+    return both.where(apart & within).select(
+        "token", "size", "large_label", "large_part", "small_label", "small_part",
+        (F.col("large_texts") * F.col("small_texts")).alias("most"),
+    )
+
+
+def unconnected_pairs(large: DataFrame, small: DataFrame, met: DataFrame, one_of: int) -> DataFrame:
+    """All pairs ``a, b`` of two components that can be linked, or one of ``one_of`` of them."""
+
+    def texts(side: DataFrame, of: str) -> DataFrame:
+        return side.withColumnsRenamed({c: f"{of}_{c}" for c in ("label", "part", "row", "n", "reach")})
+
+    of = lambda side: [f"{side}_label", f"{side}_part"]
+    both = met.drop("most").join(texts(large, "large"), ["token", "size", *of("large")]).join(
+        texts(small, "small"), ["token", "size", *of("small")]
+    )
+    a, b = F.least("large_row", "small_row"), F.greatest("large_row", "small_row")
+    within = (F.col("small_n") <= F.col("large_reach")) & (F.col("large_n") <= F.col("small_reach"))
+    turn = F.pmod(F.xxhash64(a, b), F.lit(one_of)) == 0
+    return both.where(within & turn).select(a.alias("a"), b.alias("b")).distinct()
 
 
-def still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of two components."""
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
-    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+def relabelled(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of :func:`prefixes` under the components that ``labels`` say."""
+    named = held.drop("label").join(labels.withColumnRenamed("node", "row"), "row", "left")
+    return named.withColumn("label", F.coalesce("label", "row"))
 
 
 def classes(documents: DataFrame, share: float = SHARE) -> DataFrame:
@@ -404,34 +418,24 @@ def classes_of(numbered: DataFrame, share: float) -> DataFrame:
     edges = stored(verified(near, texts, share), "edges")
     labels = stored(components(edges), "labels")
 
-    # Further pivots connect large groups cheaply; every second band is enough for that.
-    large = stored(members.where((F.col("n") > SMALL) & (F.col("band") % 2 == 0)), "large")
-    tried = large.select("key", F.col("pivot").alias("node")).distinct().join(labels, "node", "left")
-    tried = tried.select("key", F.coalesce("label", "node").alias("label"))
-    for _ in range(PIVOTS):
-        more = stored(further_pairs(large, labels, tried), "more")
-        if more.isEmpty():
-            break
-        new = more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        found = stored(verified(agreeing(new, firsts), texts, share), "edges")
-        tried = tried.union(more.select("key", "label").distinct())
-        if found.isEmpty():
-            continue
-        edges = edges.union(found)
-        labels = stored(components(edges), "labels")
-
-    # What they have left apart is compared all with all. Of many pairs a few are verified first,
-    # as those that these connect need not be.
-    apart = stored(unconnected_pairs(members, labels, firsts), "apart")
-    count = apart.count()
-    turn, done = F.xxhash64("a", "b"), F.lit(False)
+    # What the pivots have left apart meets by shared rare tokens. Of many pairs a few are verified
+    # first, as those that these connect need not be.
+    left = mixed_texts(members, labels)
+    tokens = stored(shingle_tokens(texts.join(left, "row")), "tokens")
+    held = stored(prefixes(tokens, share), "prefixes")
+    met = stored(meeting(*sides(held, share)), "meeting")
+    count = met.agg(F.coalesce(F.sum("most"), F.lit(0)).alias("n")).first()["n"]
     for one_of in () if not count else WAVES if count > ONE_WAVE else (1,):
-        now = F.pmod(turn, F.lit(one_of)) == 0
-        found = stored(verified(still_apart(apart.where(now & ~done), labels), texts, share), "edges")
-        done = now
-        if not found.isEmpty():
+        large, small = sides(held, share)
+        apart = stored(unconnected_pairs(large, small, met, one_of), "apart")
+        found = stored(verified(agreeing(apart, firsts), texts, share), "edges")
+        if one_of > 1 and not found.isEmpty():
             edges = edges.union(found)
             labels = stored(components(edges), "labels")
+            held = stored(relabelled(held, labels), "prefixes")
+            met = stored(meeting(*sides(held, share)), "meeting")
+    if count and not found.isEmpty():
+        labels = stored(components(edges.union(found)), "labels")
 
     text_label = copies.join(labels, copies["text"] == labels["node"], "left").select(
         "copy", F.coalesce("label", "text").alias("label")

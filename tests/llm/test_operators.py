@@ -637,6 +637,29 @@ def test_pairs_of_large_buckets_that_no_pivot_meets(spark, tmp_path, monkeypatch
     assert Counter((r.doc_id, r.class_id) for r in found) == want
 
 
+def test_texts_just_under_the_threshold_do_not_meet_all_with_all(spark, tmp_path, monkeypatch):
+    """Copies of one text with a few own words each: no two are linked, but their registers agree often."""
+    random = np.random.default_rng(5)
+    base, source = [f"base{i}" for i in range(300)], []
+    for copy in range(80):
+        text = list(base)
+        for at in random.choice(np.arange(5, 295, 6), 7, replace=False):
+            text[at] = f"own{copy}x{at}"
+        source.append((copy, " ".join(text)))
+    source.append((80, source[0][1] + " more"))
+    compared, verified = [], bag_minhash.verified
+
+    def counted(pairs, *given_):
+        compared.append(pairs.count())
+        return verified(pairs, *given_)
+
+    monkeypatch.setattr(bag_minhash, "verified", counted)
+    documents(spark, source).repartition(3).write.parquet(str(tmp_path / "d"))
+    found = bag_minhash.classes(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert Counter((r.doc_id, r.class_id) for r in found) == brute_classes(source)
+    assert sum(compared[1:]) <= len(source), compared  # the first are pairs with pivots
+
+
 def test_rows_are_the_same_when_splits_change(spark, tmp_path, monkeypatch):
     """As after an executor is lost or registered, each job deals the table to other tasks."""
     source = near_copies()[:40]
