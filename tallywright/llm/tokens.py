@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
-
 #: Entries that a process keeps; further ones are looked up anew, which bounds its memory.
 CACHE_ENTRIES = 400_000
+#: Stretches kept for a while when those are full, so that a text's own words are looked up once.
+RECENT_ENTRIES = 20_000
 #: Longer stretches are not worth a place in the cache.
 CACHE_CHARS = 48
 
@@ -48,57 +49,63 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class StretchIds:
-    """Ids of texts, for word vocabularies of byte letters that drop all white space."""
+def packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class StretchIds(dict):
+    """Ids of texts, for word vocabularies of byte letters that drop all white space.
+
+    It is its own cache of stretches; one that is not in it is looked up as it is met.
+    """
 
     def __init__(self, path: str):
+        super().__init__({"": b""})
         self.tokenizer = library(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
-        self.cache: dict[str, bytes] = {"": b""}
+        self.recent: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
     def run(self, run: str) -> bytes:
         text = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
-        ids = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+        ids = packed([t.id for t in self.model.tokenize(text)])
         if len(self.runs) < CACHE_ENTRIES:
             self.runs[run] = ids
         return ids
 
-    def learn(self, stretches: list[str]) -> dict[str, bytes]:
-        found, others, runs = {}, [], self.runs
-        for s in stretches:
-            if _PLAIN(s) and not ("<|" in s and any(x in s for x in self.special)):
-                parts = _RUNS(s.lower())
-                found[s] = b"".join([runs.get(p) or self.run(p) for p in parts])
+    def learn(self, stretch: str) -> bytes:
+        if stretch.isascii() and stretch.isalpha():
+            run = stretch.lower()
+            return self.runs.get(run) or self.run(run)
+        if _PLAIN(stretch) and not ("<|" in stretch and any(x in stretch for x in self.special)):
+            runs = self.runs
+            return b"".join([runs.get(p) or self.run(p) for p in _RUNS(stretch.lower())])
+        encoded = self.tokenizer.encode_batch_fast([stretch], add_special_tokens=False)
+        return packed(encoded[0].ids)
+
+    def __missing__(self, stretch: str) -> bytes:
+        recent = self.recent
+        ids = recent.get(stretch)
+        if ids is None:
+            ids = self.learn(stretch)
+            if len(self) < CACHE_ENTRIES and len(stretch) <= CACHE_CHARS:
+                self[stretch] = ids
             else:
-                others.append(s)
-        encoded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
-        found.update((s, np.array(e.ids, "<u4").tobytes()) for s, e in zip(others, encoded))
-        return found
+                if len(recent) >= RECENT_ENTRIES or len(stretch) > CACHE_CHARS:
+                    recent.clear()
+                recent[stretch] = ids
+        return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [
-            t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts
+        get = self.__getitem__
+        return [
+            b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+            for t in texts
         ]
-        distinct: set[str] = set()
-        for words in split:
-            distinct.update(words)
-        cache = self.cache
-        unknown = distinct.difference(cache)
-        if unknown:
-            new = self.learn(sorted(unknown))
-            room = CACHE_ENTRIES - len(cache)
-            if room > len(new) and max(map(len, new)) <= CACHE_CHARS:
-                cache.update(new)
-            else:
-                short = [s for s in new if len(s) <= CACHE_CHARS][: max(0, room)]
-                cache.update((s, new[s]) for s in short)
-                cache = {s: cache[s] for s in distinct if s in cache} | new
-        get = cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
 
 
 @lru_cache(maxsize=2)

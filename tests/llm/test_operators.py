@@ -111,6 +111,18 @@ def test_ids_are_the_same_when_the_cache_is_full(monkeypatch, given_rows):
     assert small.ids(found[:20]) + small.ids(found[20:]) == want
 
 
+def test_stretches_beyond_the_cache_are_looked_up_once(monkeypatch):
+    from tallywright.llm import tokens
+
+    looked_up, plain = [], tokens._PLAIN
+    monkeypatch.setattr(tokens, "_PLAIN", lambda s: looked_up.append(s) or plain(s))
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 1)
+    small, text = tokens.StretchIds(WORDS), "don't, don't, 12 é"
+    want = [np.array(library(WORDS).encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert small.ids([text]) == small.ids([text]) == want
+    assert looked_up.count("12") == 1
+
+
 def test_token_counts(spark, odd, nothing):
     got = {(r[0], r[1], r[2], r[3]) for r in rows(token_counts.count_tokens(odd, BYTES))}
     want = set()
