@@ -254,13 +254,17 @@ def first_pairs(members: DataFrame) -> DataFrame:
 def mixed_texts(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``row, label, part`` of the texts of larger buckets that hold texts of two components.
 
-    ``part`` deals a large component into parts of about ``BLOCK`` texts.
+    ``part`` deals a large component into parts of about ``BLOCK`` texts. A text's label is
+    looked up once, not once for each of its buckets.
     """
-    named = members.where(F.col("n") > SMALL).select("key", "row").join(
-        labels.withColumnRenamed("node", "row"), "row", "left"
-    ).withColumn("label", F.coalesce("label", "row"))
-    several = named.groupBy("key").agg((F.min("label") < F.max("label")).alias("several")).where("several")
-    texts = named.join(several, "key").select("row", "label").distinct()
+    held = members.where(F.col("n") > SMALL).groupBy("row").agg(F.collect_list("key").alias("keys"))
+    named = stored(
+        held.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row")),
+        "large-buckets",
+    )
+    dealt = named.select("row", "label", F.explode("keys").alias("key"))
+    several = dealt.groupBy("key").agg((F.min("label") < F.max("label")).alias("several")).where("several")
+    texts = stored(dealt.join(several, "key", "left_semi").select("row", "label").distinct(), "mixed-texts")
     parts = texts.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     return texts.join(parts, "label").select(
         "row", "label", F.pmod(F.xxhash64("row"), F.col("parts")).alias("part")

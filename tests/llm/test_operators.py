@@ -672,6 +672,41 @@ def test_texts_just_under_the_threshold_do_not_meet_all_with_all(spark, tmp_path
     assert sum(compared[1:]) <= len(source), compared  # the first are pairs with pivots
 
 
+def rows_of_left_joins(df):
+    """Rows that the left joins of a plan make when it runs."""
+    df.collect()
+
+    def walk(node):
+        children = node.children()
+        below = [children.apply(i) for i in range(children.size())]
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            below.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            below.append(node.plan())
+        made = "LeftOuter" in node.verboseString(1000) and node.nodeName().endswith("Join")
+        return (node.metrics().get("numOutputRows").get().value() if made else 0) + sum(map(walk, below))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_labels_are_looked_up_once_per_text(spark, monkeypatch):
+    """60 texts of two components share 32 large buckets each; a label is a text's, not a bucket's."""
+    members = spark.createDataFrame([(r, k, 60) for r in range(60) for k in range(32)], "row long, key long, n long")
+    labels = spark.createDataFrame([(r, r % 2) for r in range(58)], "node long, label long")
+    made, stored = [], bag_minhash.stored
+
+    def counted(df, what):
+        made.append(rows_of_left_joins(df))
+        return stored(df, what)
+
+    monkeypatch.setattr(bag_minhash, "stored", counted)
+    texts = bag_minhash.mixed_texts(members, labels)
+    made.append(rows_of_left_joins(texts))
+    assert sorted((r.row, r.label) for r in texts.collect()) == [(r, r % 2 if r < 58 else r) for r in range(60)]
+    assert 0 < sum(made) <= 60, made
+
+
 def test_rows_are_the_same_when_splits_change(spark, tmp_path, monkeypatch):
     """As after an executor is lost or registered, each job deals the table to other tasks."""
     source = near_copies()[:40]
