@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -145,6 +146,63 @@ def test_phrases_top_is_a_limit_and_empty_table(spark):
     assert phrases.collocations(documents(spark, [])).count() == 0
 
 
+def records_shuffled(df):
+    df.collect()
+
+    def walk(node):
+        children = node.children()
+        below = [children.apply(i) for i in range(children.size())]
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            below.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            below.append(node.plan())
+        own = node.metrics().get("shuffleRecordsWritten").get().value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(map(walk, below))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_rare_phrases_of_frequent_words_are_not_shuffled_as_strings(spark, monkeypatch):
+    """Each of 150 words is frequent, hardly a pair of them is: only what is frequent is sent by its words."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 150, 60)) + ". new york city", "en") for i in range(200)]
+    sent, stored = [], phrases.stored
+
+    def counted(df, what):
+        sent.append(records_shuffled(df))
+        return stored(df, what)
+
+    monkeypatch.setattr(phrases, "stored", counted)
+    got = phrases.collocations(documents(spark, rows)).drop("cut")
+    assert sorted(tuple(r) for r in got.collect()) == brute_phrases(rows)
+    assert 0 < sum(sent) < 2000, sent
+
+
+def test_long_texts_are_cut_where_no_phrase_is(monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 100)
+    text = "one two\tThree. four,five  six\n" * 30 + "and no end " * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "fr", "en"]), pa.array([text, text, None])], names=["lang", "text"])
+    found = list(phrases.blocks(iter([batch])))
+    assert len(found) > 10
+    for n in (1, 2, 4):
+        got = Counter()
+        for block in found:
+            for g, f in zip(*block.counted(block.numbers(), block.starts(n), n)):
+                got[block.lang, g] += f
+        pieces = [x.lower().split() for x in re.split(r"[.,\n]", text)]
+        want = Counter(" ".join(w[i : i + n]) for w in pieces for i in range(len(w) - n + 1))
+        assert got == {(lang, g): f for lang in ("en", "fr") for g, f in want.items()}
+
+
+def test_phrases_of_several_sendings_and_languages(spark, monkeypatch):
+    rows = phrase_rows() + [(600 + i, "a b c d. E f  g\th", f"long-language-{i % 2}") for i in range(80)]
+    monkeypatch.setattr(phrases, "HELD_HASHES", 50)
+    monkeypatch.setattr(phrases, "HELD_PHRASES", 20)
+    got = phrases.collocations(documents(spark, rows)).drop("cut")
+    assert sorted(tuple(r) for r in got.collect()) == brute_phrases(rows)
+
+
 # ------------------------------------------------------------------ op12
 
 
