@@ -10,7 +10,8 @@ all others. Three steps keep that to the windows that can matter, without losing
 2. Runs with shared keys are read as strings. Of equal strings only the occurrence in the
    earliest document can be new; all others are covered as they are.
 3. The distinct strings of a bucket of keys are put in suffix order, with the longest common
-   prefixes of neighbours. Within a stretch of common prefixes of at least ``MATCH``, a suffix
+   prefixes of neighbours; those whose key one document alone has there can have no window in
+   common with another and need none. Within a stretch of common prefixes of at least ``MATCH``, a suffix
    has a longest previous factor of that length if the previous or the next smaller document in
    suffix order lies in the stretch.
 
@@ -35,12 +36,14 @@ from tallywright.llm.common import binary_texts, mixed, ready, stored, stored_wi
 
 MATCH, GRAM = 50, 24
 #: Runs or string bytes that a task holds before it sends them.
-HELD_RUNS, HELD_BYTES = 800_000, 12_000_000
+HELD_RUNS, HELD_BYTES = 800_000, 30_000_000
 #: Text bytes per bucket. Buckets grow in number with the corpus, not in size.
 BUCKET_BYTES = 8_000_000
 #: Documents with one key from which it is hot, and the most keys that can be hot.
 HOT_DOCUMENTS, HOT_KEYS = 4_000, 100_000
 _KEY_BITS = np.uint64(40)
+#: Keys of strings are told apart modulo this; more than one in a group only costs time.
+_SENT_KEYS = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -136,7 +139,7 @@ def keys_sent(documents: DataFrame, buckets: int) -> DataFrame:
                 return
             bucket, key = split_key(np.concatenate(keys), buckets)
             row, run = np.concatenate(rows), np.concatenate(numbers)
-            order = np.lexsort((run, row, key, bucket))
+            order = np.lexsort((key, bucket))  # runs of a row come one after the other and stay so
             bucket, key, row, run = bucket[order], key[order], row[order], run[order]
             fresh = np.r_[True, (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])]
             other = np.r_[True, fresh[1:] | (row[1:] != row[:-1])]  # first run of a row with the key
@@ -262,62 +265,79 @@ def unpacked(packed: bytes) -> bytes:
     )
 
 
+def merged_ranges(rows: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+    """Maximal ``row, first, last`` ranges out of ranges that may overlap or touch, by row."""
+    if not len(rows):
+        return np.zeros((0, 3), np.int64)
+    order = np.lexsort((firsts, rows))
+    rows, firsts, lasts = rows[order], firsts[order], lasts[order]
+    other = np.r_[True, rows[1:] != rows[:-1]]
+    # One axis for all rows, on which the ranges of two rows are apart.
+    shift = (np.cumsum(other) - 1) * (int(lasts.max()) + 2)
+    reach = np.maximum.accumulate(lasts + shift)
+    begin = np.flatnonzero(np.r_[True, (firsts + shift)[1:] > reach[:-1]])
+    end = np.r_[begin[1:], len(rows)] - 1
+    return np.stack([rows[begin], firsts[begin], reach[end] - shift[end]], axis=1)
+
+
 def strings_sent(texts: DataFrame, buckets: int, hot: set[tuple[int, int]]) -> DataFrame:
     """Step 2, in the tasks: each string of a batch once, for its earliest document.
 
     ``texts`` is ``row, doc_id, packed, runs``. Occurrences in later documents of the batch are
-    sent as covered ranges at once. Strings of hot keys are cut into their windows.
+    sent as covered ranges at once. Strings of hot keys are cut into their windows. A string goes
+    with bits of its key, as only strings of one key can have a window in common.
     """
     hot_keys = np.array(sorted(b * (1 << 40) + k for b, k in hot), np.uint64)
+    few = np.uint64(_SENT_KEYS - 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, size = Powers(), {}, 0
-        # held: (bucket, string) -> [document, [(row, start), ...]], and covered ranges
-        covered: list[tuple[int, int, int]] = []
+        # Strings are numbered as they are met; occurrences are columns, not objects.
+        powers, number, size = Powers(), {}, 0
+        dense = pa.Codec("zstd", compression_level=3)
+        parts: list[tuple[np.ndarray, ...]] = []  # number, bucket, key, row, document, start
 
-        def keep(bucket: int, string: bytes, doc_id: int, row: int, start: int) -> None:
+        def keep(strings: list[bytes], bucket, key, row: int, doc_id: int, starts: np.ndarray) -> None:
             nonlocal size
-            entry = held.get((bucket, string))
-            if entry is None:
-                held[bucket, string] = [doc_id, [(row, start)]]
-                size += len(string) + 100
-            elif doc_id == entry[0]:
-                entry[1].append((row, start))
-            elif doc_id > entry[0]:
-                covered.append((row, start, start + len(string)))
-            else:
-                covered.extend((r, s, s + len(string)) for r, s in entry[1])
-                held[bucket, string] = [doc_id, [(row, start)]]
+            known = len(number)
+            which = np.array([number.setdefault(s, len(number)) for s in strings], np.int64)
+            n = len(strings)
+            parts.append((which, bucket, key, np.full(n, row), np.full(n, doc_id), starts))
+            size += (len(number) - known) * (100 + sum(map(len, strings)) // n) + 24 * n
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size
+            if not parts:
+                return
+            which, bucket, key, row, docs, start = map(np.concatenate, zip(*parts))
+            strings = list(number)
+            length = np.fromiter(map(len, strings), np.int64, len(strings))[which]
+            earliest = np.full(len(strings), np.iinfo(np.int64).max)
+            np.minimum.at(earliest, which, docs)
+            later = docs > earliest[which]
             out = []
-            items = sorted(held.items(), key=lambda x: x[0])
-            at = 0
-            while at < len(items):
-                bucket, end = items[at][0][0], at
-                while end < len(items) and items[end][0][0] == bucket:
-                    end += 1
-                flat = [(s, e[0], r, p) for (_, s), e in items[at:end] for r, p in e[1]]
-                strings, docs, rows, starts = zip(*flat)
-                raw = b"".join(strings)
+            own = np.flatnonzero(~later)
+            own = own[np.lexsort((start[own], row[own], bucket[own]))]
+            for b, at in by_bucket(bucket[own]):
+                part = own[at]
+                first = np.flatnonzero(np.r_[True, row[part][1:] != row[part][:-1]])
+                raw = b"".join([strings[i] for i in which[part].tolist()])
                 numbers = [
-                    squeeze(np.array(list(map(len, strings)), np.uint64)),
-                    squeeze(np.array(docs, np.int64).view(np.uint64)),
-                    squeeze(np.array(rows, np.uint64)),
-                    squeeze(np.array(starts, np.uint64)),
+                    length[part],
+                    key[part],
+                    start[part],
+                    np.diff(first, append=len(part)),
+                    np.diff(row[part][first], prepend=0),
+                    docs[part][first].view(np.uint64),
                 ]
-                data = len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-                out.append((bucket, numbers, data))
-                at = end
-            if covered:
-                spans = np.array(covered, np.int64)
-                to = (mixed(spans[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((spans[:, 1], spans[:, 0], to))
-                spans, to = spans[order], to[order]
-                for b, part in by_bucket(to):
-                    out.append((b, [squeeze(spans[part, i].astype(np.uint64)) for i in range(3)], None))
-            held.clear(), covered.clear()
+                data = len(raw).to_bytes(8, "little") + dense.compress(raw, asbytes=True)
+                out.append((b, list(map(squeeze, numbers)), data))
+            spans = merged_ranges(row[later], start[later], (start + length)[later])
+            to = (mixed(spans[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            spans, to = spans[order], to[order]
+            for b, part in by_bucket(to):
+                out.append((b, [squeeze(spans[part, i].astype(np.uint64)) for i in range(3)], None))
+            number.clear(), parts.clear()
             size = 0
             for i in range(0, len(out), 256):
                 yield rows_of(out[i : i + 256])
@@ -327,20 +347,24 @@ def strings_sent(texts: DataFrame, buckets: int, hot: set[tuple[int, int]]) -> D
                 text = unpacked(packed)
                 keys, starts = runs_of(np.frombuffer(text, np.uint8), powers)
                 ends = np.r_[starts[1:], len(text) - MATCH + 1] + MATCH - 1
-                picked = np.flatnonzero(np.isin(keys, keys[np.array(wanted, np.int64)]))
+                # A key that a text has again is wanted there, too.
+                sought = np.sort(keys[np.array(wanted, np.int64)])
+                place = np.minimum(np.searchsorted(sought, keys), len(sought) - 1)
+                picked = np.flatnonzero(sought[place] == keys)
                 bucket, rest = split_key(keys[picked], buckets)
-                is_hot = np.isin(bucket.astype(np.uint64) * np.uint64(1 << 40) + rest, hot_keys)
-                for b, start, end, windows in zip(
-                    bucket.tolist(), starts[picked].tolist(), ends[picked].tolist(), is_hot.tolist()
-                ):
-                    if not windows:
-                        keep(b, text[start:end], doc_id, row, start)
-                        continue
-                    for i in range(start, end - MATCH + 1):
-                        string = text[i : i + MATCH]
-                        digest = hashlib.blake2b(string, digest_size=8).digest()
-                        keep(int.from_bytes(digest, "little") % buckets, string, doc_id, row, i)
-                if size + 24 * len(covered) > HELD_BYTES:
+                if len(hot_keys):
+                    is_hot = np.isin(bucket.astype(np.uint64) * np.uint64(1 << 40) + rest, hot_keys)
+                    for start, end in zip(starts[picked[is_hot]].tolist(), ends[picked[is_hot]].tolist()):
+                        strings = [text[i : i + MATCH] for i in range(start, end - MATCH + 1)]
+                        digests = b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in strings)
+                        b, k = split_key(np.frombuffer(digests, "<u8"), buckets)
+                        keep(strings, b, k & few, row, doc_id, np.arange(start, start + len(strings)))
+                    picked, bucket, rest = picked[~is_hot], bucket[~is_hot], rest[~is_hot]
+                if len(picked):
+                    first = starts[picked]
+                    strings = [text[i:j] for i, j in zip(first.tolist(), ends[picked].tolist())]
+                    keep(strings, bucket, rest & few, row, doc_id, first)
+                if size > HELD_BYTES:
                     yield from flush()
         yield from flush()
 
@@ -354,11 +378,10 @@ def suffix_order(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     """
     columns = []
     padded = np.r_[text, np.zeros(8, np.uint8)]
+    eights = np.ndarray((len(text) + 1,), ">u8", padded, strides=(1,))  # the 8 bytes from each place
     for i in range(0, MATCH, 8):
-        column = np.zeros(len(starts), np.uint64)
-        for j in range(i, min(i + 8, MATCH)):
-            column |= padded[starts + j].astype(np.uint64) << np.uint64(8 * (7 - (j - i)))
-        columns.append(column)
+        beyond = np.uint64(8 * max(0, i + 8 - MATCH))
+        columns.append(eights[starts + i].astype(np.uint64) >> beyond << beyond)
     order = np.lexsort(columns[::-1])
     common = np.zeros(len(order), np.int64)
     open_ = np.r_[False, np.ones(max(0, len(order) - 1), bool)][: len(order)]
@@ -400,7 +423,7 @@ def covered_ranges(sent: DataFrame, buckets: int) -> DataFrame:
                 spans += _bucket_ranges(given)
             if not spans:
                 continue
-            out = np.concatenate(spans)
+            out = merged_ranges(*np.concatenate(spans).T)
             for i in range(0, len(out), 65536):
                 part = out[i : i + 65536]
                 yield pa.RecordBatch.from_arrays(
@@ -415,7 +438,10 @@ def covered_ranges(sent: DataFrame, buckets: int) -> DataFrame:
 
 
 def _bucket_ranges(given: list[tuple[list[np.ndarray], bytes]]) -> list[np.ndarray]:
-    lengths, docs, rows, starts = (np.concatenate([n[i] for n, _ in given]).astype(np.int64) for i in range(4))
+    lengths, keys, starts = (np.concatenate([n[i] for n, _ in given]).astype(np.int64) for i in range(3))
+    times = [n[3].astype(np.int64) for n, _ in given]
+    rows = np.concatenate([np.repeat(np.cumsum(n[4]).astype(np.int64), t) for (n, _), t in zip(given, times)])
+    docs = np.concatenate([np.repeat(n[5].view(np.int64), t) for (n, _), t in zip(given, times)])
     raw = b"".join(unpacked(d) for _, d in given)
     at = np.r_[0, np.cumsum(lengths)]
     strings = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
@@ -425,8 +451,19 @@ def _bucket_ranges(given: list[tuple[list[np.ndarray], bytes]]) -> list[np.ndarr
     np.minimum.at(earliest, which, docs)
     later = docs > earliest[which]
     spans = [np.stack([rows[later], starts[later], (starts + lengths)[later]], axis=1)]
-    # Suffix order over the distinct strings, each standing for its earliest document.
-    distinct = list(number)
+    # Suffix order over the distinct strings, each standing for its earliest document. Windows are
+    # equal only under one key, so strings whose key is of one document only need no order.
+    key_of = np.zeros(len(number), np.int64)
+    key_of[which] = keys
+    group = np.unique(key_of, return_inverse=True)[1]
+    low, high = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).min)
+    np.minimum.at(low, group, earliest)
+    np.maximum.at(high, group, earliest)
+    chosen = np.flatnonzero(low[group] < high[group])
+    if not len(chosen):
+        return spans
+    all_strings, earliest = list(number), earliest[chosen]
+    distinct = [all_strings[i] for i in chosen.tolist()]
     sizes = np.array(list(map(len, distinct)), np.int64)
     offset = np.r_[0, np.cumsum(sizes)]
     windows = sizes - MATCH + 1
@@ -442,8 +479,8 @@ def _bucket_ranges(given: list[tuple[list[np.ndarray], bytes]]) -> list[np.ndarr
     if len(begin):
         own = np.flatnonzero(~later)
         own = own[np.argsort(which[own], kind="stable")]
-        left = np.searchsorted(which[own], owner[begin], "left")
-        right = np.searchsorted(which[own], owner[begin], "right")
+        left = np.searchsorted(which[own], chosen[owner[begin]], "left")
+        right = np.searchsorted(which[own], chosen[owner[begin]], "right")
         times = right - left
         k = np.repeat(np.arange(len(begin)), times)
         occurrence = own[np.repeat(left, times) + np.arange(len(k)) - np.repeat(np.cumsum(times) - times, times)]

@@ -11,6 +11,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -363,6 +364,47 @@ def test_small_batches_give_the_same(spark, repeated, tmp_path, monkeypatch):
     assert Counter(rows(got)) == without_repeats(repeated)
 
 
+class InOneTask:
+    """As much of a DataFrame as the steps of op3 need, over record batches."""
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    def mapInArrow(self, work, schema):
+        return InOneTask(list(work(iter(self.batches))))
+
+    def repartition(self, *by):
+        return self  # there is one bucket
+
+    def sortWithinPartitions(self, *by):
+        return self
+
+
+def test_only_strings_that_may_share_windows_are_put_in_order(monkeypatch):
+    """Copies are settled as whole strings and lead to few ranges; edges of passages need the order."""
+    random = np.random.default_rng(8)
+    texts = ["".join(random.choice(list("abcdefgh "), 3000)) for _ in range(12)]
+    source = [(i, t) for i, t in enumerate(texts * 2)] + [(99, "y" * 30 + texts[3][700:900] + "z" * 30)]
+    ids = pa.array([i for i, _ in source], pa.int64())
+    raw = pa.array([t.encode() for _, t in source], pa.binary())
+    own = InOneTask([pa.RecordBatch.from_arrays([ids, ids, raw], names=["row", "doc_id", "text"])])
+    shared = repeats.shared_runs(repeats.keys_sent(own, 1), 1, 10**6).batches
+    runs = defaultdict(set)
+    for r in pa.Table.from_batches(shared).to_pylist():
+        runs[r["row"]].add(r["run"])
+    (packed,) = repeats.packed_texts(own).batches
+    wanted = pa.array([sorted(runs[i]) for i, _ in source], pa.list_(pa.int32()))
+    with_runs = InOneTask([packed.append_column("runs", wanted)])
+    order, windows = repeats.suffix_order, []
+    monkeypatch.setattr(repeats, "suffix_order", lambda t, s: windows.append(len(s)) or order(t, s))
+    ranges = repeats.covered_ranges(repeats.strings_sent(with_runs, 1, set()), 1).batches
+    found = defaultdict(list)
+    for r in pa.Table.from_batches(ranges).to_pylist():
+        found[r["row"]].append((r["first"], r["last"]))
+    assert dict(found) == {i: [(0, 3000)] for i in range(12, 24)} | {99: [(30, 230)]}
+    assert 0 < sum(windows) < 500  # of 12 * 2951
+
+
 def test_previous_factors_by_definition():
     random = np.random.default_rng(1)
     text = np.frombuffer(bytes(random.choice([97, 98], 400)) + bytes(60), np.uint8)
